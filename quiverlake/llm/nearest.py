@@ -145,7 +145,7 @@ def search(vectors: DataFrame, is_query, k: int = TOP, share: float = SHARE) ->
     asked = good.where(is_query).mapInArrow(probing, "cell int, query_id long, v array<float>")
     asked = asked.join(F.broadcast(sizes), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    def block(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def block(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
         if left.num_rows and right.num_rows:
             x, ids = matrix(left.column("v"), dim), long_ids(left.column("vec_id"))
