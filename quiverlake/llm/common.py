@@ -23,16 +23,23 @@ CHUNK_BYTES = 1 << 19
 # ---------------------------------------------------------------- Spark helpers
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint() in the folder that all executors share (spark.checkpoint.dir).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
     Only where the session names none, as in local tests, a temporary folder is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="quiverlake-checkpoint-")
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quiverlake-checkpoint-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """An eager checkpoint() in the shared folder: what follows doesn't depend on executors that are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
