@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,9 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop shuffle files whose plans are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's context cleaner drop shuffle files whose plans are no longer referenced.
+
+    What Python held is only collectable after one collection in the JVM, so there are three.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
