@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: levels spanned, lowest code
 CODES = {"int8": (254.0, -127.0), "int4": (15.0, -8.0)}
@@ -34,7 +35,7 @@ def pack_int4(q: Column) -> Column:
     return F.transform(at, lambda i: F.element_at(u, i * 2 + 1) + F.coalesce(F.get(u, i * 2 + 1), F.lit(0)) * 16)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def fp16(v: pd.Series) -> pd.Series:
     """Components rounded to half precision; Spark has no such type."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))

@@ -24,8 +24,12 @@ def lengths(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
 def postings(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, term, tf, doc_len: a table that can be written and partitioned by a hash of term."""
-    t = tokens(text)
-    return df.select(id_col, F.size(t).alias("doc_len"), F.explode(t).alias("term")).groupBy(id_col, "term", "doc_len").agg(F.count("*").alias("tf"))
+    held = df.select(id_col, tokens(text).alias("__t"))
+    return held.select(id_col, F.size("__t").alias("doc_len"), F.explode("__t").alias("term")).groupBy(id_col, "term", "doc_len").agg(F.count("*").alias("tf"))
+
+
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
 
 
 def stats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -47,7 +51,7 @@ def search(df: DataFrame, query: str, topk: int = 10, match: str = "or", *, text
     if not terms:
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
     t = tokens(text)
-    base = df.select(id_col, t.alias("__t")).select(id_col, F.size("__t").alias("dl"), *[F.size(F.filter("__t", lambda x, w=w: x == F.lit(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    base = df.select(id_col, t.alias("__t")).select(id_col, F.size("__t").alias("dl"), *[F.size(F.filter("__t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
     whole = base.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     avg = F.col("total") / F.col("n")
     norm = F.when(avg > 0, 1 - b + b * F.col("dl") / avg).otherwise(F.lit(1.0))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quiverlake.functions import distance, quantize
 from quiverlake.plans.filters import compile_filter
@@ -82,6 +83,7 @@ def knn_batch(df: DataFrame, queries: DataFrame, topk: int = 10, metric: str = "
     parts = -(-n // QUERY_BLOCK) or 1
     out = None
     kind, qkind = dict(df.dtypes)[id_col], dict(queries.dtypes)[query_id]
+    own_type, asked_type = to_arrow_type(df.schema[id_col].dataType), to_arrow_type(queries.schema[query_id].dataType)
     for part in range(parts):
         rows = queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part).select(query_id, query_vector).collect()
         if not rows:
@@ -110,7 +112,7 @@ def knn_batch(df: DataFrame, queries: DataFrame, topk: int = 10, metric: str = "
                     order = sorted(range(len(have)), key=lambda j: (round(had[j], 9), have[j]))[:topk]
                     best[i] = (have[order], had[order])
             out_q = [ids[i] for i in range(len(ids)) for _ in best[i][0]]
-            yield pa.RecordBatch.from_pydict({query_id: pa.array(out_q), id_col: pa.array([x for a, _ in best for x in a]), "score": pa.array([sign * x for _, v in best for x in v], pa.float64())})
+            yield pa.RecordBatch.from_pydict({query_id: pa.array(out_q, asked_type), id_col: pa.array([x for a, _ in best for x in a], own_type), "score": pa.array([sign * x for _, v in best for x in v], pa.float64())})
 
         got = df.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(local, f"`{query_id}` {qkind}, `{id_col}` {kind}, score double")
         out = got if out is None else out.unionByName(got)

@@ -181,7 +181,7 @@ def _typed(value, kind: T.DataType, field: str) -> Column:
     ok = isinstance(kind, T.StringType) and isinstance(value, str) or isinstance(kind, T.BooleanType) and isinstance(value, bool)
     if isinstance(kind, _NUMERIC) and not isinstance(value, bool):
         ok = isinstance(value, int) or isinstance(value, float) and isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
-    if isinstance(kind, (T.TimestampType, T.DateType)) and isinstance(value, str):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) and isinstance(value, str):
         ok = True
     if not ok:
         raise FilterError(f"{value!r} doesn't fit {field} of type {kind.simpleString()}")
