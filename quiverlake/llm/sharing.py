@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from quiverlake.llm.common import packed, unpacked
+from quiverlake.llm.common import mix, packed, unpacked
 
 BLOBS = "bucket int, items binary, labels binary, sizes binary, vals binary, places binary"
 BLOBS_ARROW = pa.schema([("bucket", pa.int32()), ("items", pa.binary()), ("labels", pa.binary()), ("sizes", pa.binary()), ("vals", pa.binary()), ("places", pa.binary())])
@@ -83,3 +83,37 @@ def shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     flags = np.empty(len(vals), bool)
     flags[order] = np.repeat(twice, np.diff(np.append(start, len(vals))))
     return items, sizes, flags, places
+
+
+#: What buckets send back: for each group of items one row, so rows don't grow with buckets times items.
+BACK = "part long, items binary, counts binary, places binary"
+
+
+def sent_back(items: np.ndarray, counts: np.ndarray, places: np.ndarray | None, bits: int) -> pa.Table:
+    """Rows of BACK for items (int64) with counts, and counts[i] places (uint32) of each."""
+    part = (mix(items.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, items = part[order], items[order]
+    if places is not None:
+        first = (np.cumsum(counts) - counts)[order]
+        size = counts[order]
+        places = places[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first, size)]
+    counts = counts[order]
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(edge[1:], len(part)) if len(part) else edge
+    total = np.append(0, np.cumsum(counts))
+    rows = list(zip(edge.tolist(), ends.tolist(), strict=True))
+    return pa.table({
+        "part": pa.array(part[edge], pa.int64()), "items": pa.array([packed(items[a:b], "<i8") for a, b in rows], pa.binary()), "counts": pa.array([packed(counts[a:b], "<u4") for a, b in rows], pa.binary()),
+        "places": pa.array([packed(places[total[a] : total[b]], "<u4") if places is not None else None for a, b in rows], pa.binary()),
+    })
+
+
+def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one part: items, their counts, and the places of all in order of the items with their owners' indexes."""
+    items, counts = unpacked(table.column("items").to_pylist(), "<i8"), unpacked(table.column("counts").to_pylist(), "<u4").astype(np.int64)
+    places = unpacked(table.column("places").to_pylist(), "<u4")
+    distinct, which = np.unique(items, return_inverse=True)
+    owner = np.repeat(which, counts) if len(places) else np.zeros(0, np.int64)
+    order = np.argsort(owner, kind="stable")
+    return distinct, np.bincount(which, counts, minlength=len(distinct)).astype(np.int64), places[order] if len(places) else places, owner[order]

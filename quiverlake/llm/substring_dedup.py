@@ -74,15 +74,21 @@ def _spread(bits: int):
     return run
 
 
-def _flagged(table_: pa.Table) -> pa.Table:
-    items, sizes, flags, places = sharing.shared(table_)
-    ends = np.cumsum(sizes)
-    out_k, out_p = [], []
-    for i in np.flatnonzero(np.diff(np.append(0, np.cumsum(flags)[ends - 1]))).tolist():
-        a, b = ends[i] - sizes[i], ends[i]
-        out_k.append(int(items[i]))
-        out_p.append(packed(places[a:b][flags[a:b]], "<u4"))
-    return pa.table({"k": pa.array(out_k, pa.int64()), "places": pa.array(out_p, pa.binary())})
+def _flagged(bits: int):
+    def run(rows: pa.Table) -> pa.Table:
+        items, sizes, flags, places = sharing.shared(rows)
+        count = np.diff(np.append(0, np.cumsum(flags)[np.cumsum(sizes) - 1]))
+        keep = count > 0
+        return sharing.sent_back(items[keep], count[keep], places[flags], bits)
+
+    return run
+
+
+def _gathered(rows: pa.Table) -> pa.Table:
+    """One row for each document with its anchors that others have."""
+    items, counts, places, _ = sharing.gathered(rows)
+    ends = np.cumsum(counts)
+    return pa.table({"k": items, "places": pa.array([packed(places[e - n : e], "<u4") for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())})
 
 
 def _stretches(shards: int):
@@ -96,7 +102,7 @@ def _stretches(shards: int):
                 firsts = _firsts(w)
                 marked = np.zeros(len(w.hash), bool)
                 for i in range(w.lo, w.hi):
-                    marked[np.concatenate([np.frombuffer(x, "<u4") for x in flagged[i].as_py()]).astype(np.int64) + firsts[i - w.lo]] = True
+                    marked[np.frombuffer(flagged[i].as_py(), "<u4").astype(np.int64) + firsts[i - w.lo]] = True
                 keep = marked[where]
                 start, where = start[keep], where[keep]
                 if not len(start):
@@ -212,13 +218,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = keyed.where("doc_id is not null and text is not null")
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sharing.bits_for(int(chars) // 24)  # about a word in four is an anchor, of six characters
-    flags = known.mapInArrow(_spread(bits), sharing.BLOBS).groupBy("bucket").applyInArrow(_flagged, "k long, places binary")
-    flags = cut(flags)
+    sent = known.mapInArrow(_spread(bits), sharing.BLOBS).groupBy("bucket").applyInArrow(_flagged(bits), sharing.BACK)
+    flags = cut(sent.groupBy("part").applyInArrow(_gathered, "k long, places binary"))
+    del sent
     release(spark)
     flagged = flags.agg(F.sum(F.length("places"))).first()[0] or 0
     shards = max(8, int(flagged // 4 * 17 // PER_SHARD) + 1)
-    own = flags.groupBy("k").agg(F.collect_list("places").alias("places"))  # a document's own
-    pieces = known.join(own, "k").mapInArrow(_stretches(shards), STRETCHES)
+    pieces = known.join(flags, "k").mapInArrow(_stretches(shards), STRETCHES)
     removed = cut(pieces.groupBy("shard").applyInArrow(_removed, "k long, hits binary"))
     release(spark)
     hits = removed.groupBy("k").agg(F.collect_list("hits").alias("hits"))
