@@ -106,12 +106,19 @@ def _blobs(items: list[int], sets: list[np.ndarray], labels: list[int] | None, b
         yield from sharing.blobs(np.repeat(np.array(items, np.int64), sizes), None if labels is None else np.repeat(np.array(labels, np.int64), sizes), np.concatenate(sets), None, bits)
 
 
-def _potential(table: pa.Table) -> pa.Table:
-    items, sizes, flags, _ = sharing.shared(table)
-    ends = np.cumsum(sizes)
-    p = np.diff(np.append(0, np.cumsum(flags)[ends - 1]))
-    keep = p > 0
-    return pa.table({"cls": items[keep], "p": p[keep].astype(np.int64)})
+def _potential(bits: int):
+    def run(rows: pa.Table) -> pa.Table:
+        items, sizes, flags, _ = sharing.shared(rows)
+        p = np.diff(np.append(0, np.cumsum(flags)[np.cumsum(sizes) - 1]))
+        keep = p > 0
+        return sharing.sent_back(items[keep], p[keep], None, bits)
+
+    return run
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    items, p, _, _ = sharing.gathered(rows)
+    return pa.table({"cls": items, "p": p})
 
 
 def _kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,25 +190,34 @@ def _spread_groups(bits: int):
     return run
 
 
-def _promising(blobs: DataFrame, sized: DataFrame) -> DataFrame:
+def _promising(blobs: DataFrame, sized: DataFrame, bits: int) -> DataFrame:
     """Classes of sized (cls, n, ...) of which enough values occur under another label."""
-    p = blobs.groupBy("bucket").applyInArrow(_potential, "cls long, p long").groupBy("cls").agg(F.sum("p").alias("p"))
+    p = blobs.groupBy("bucket").applyInArrow(_potential(bits), sharing.BACK).groupBy("part").applyInArrow(_totals, "cls long, p long")
     return sized.join(p, "cls").where(SHARE[1] * F.col("p") >= SHARE[0] * F.col("n")).drop("p")
 
 
 def _links(member: DataFrame) -> DataFrame:
     """Links (a, b) between groups of member (cls, grp, n, vals), by the token-group matrix."""
+    spark = member.sparkSession
     token = member.select("cls", "grp", "n", F.explode("vals").alias("v"))
-    union = token.select("v", "grp").distinct()
-    held = union.groupBy("v").agg(F.count("*").alias("groups"))
+    held = token.select("v", "grp").distinct().groupBy("v").agg(F.count("*").alias("groups")).where("groups > 1")
     ranked = token.join(held, "v").groupBy("cls", "grp", "n").agg(F.array_sort(F.collect_list(F.struct("groups", "v"))).alias("ranked"))
-    # a link needs `least` of the n values, so one of the first n - least + 1 in any fixed order
-    first = ranked.select("cls", "grp", "n", F.explode(F.slice("ranked", 1, F.col("n").cast("int") - F.expr(f"int(({SHARE[0]} * n + {SHARE[1] - 1}) div {SHARE[1]})") + 1)).alias("x"))
-    first = first.where("x.groups > 1").select("cls", "grp", F.col("x.v").alias("v"))
-    other = union.withColumnRenamed("grp", "other")
-    near = first.join(other, "v").where("grp <> other").select("cls", "other").distinct()
-    bound = near.join(token.select("cls", "n", "v"), "cls").join(other, ["v", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("both"))
-    opened = bound.where(SHARE[1] * F.col("both") >= SHARE[0] * F.col("n")).select("cls", "other")
+    # a link needs `least` of the n values, so in any fixed order both sides have one of their first
+    # n - least + 1 in common; values of one group come first and can't be it, so they only take places
+    places = F.size("ranked") - F.expr(f"int(({SHARE[0]} * n + {SHARE[1] - 1}) div {SHARE[1]})") + 1
+    first = cut(ranked.where(places > 0).select("cls", "grp", F.explode(F.slice("ranked", F.lit(1), places)).alias("x")).select("cls", "grp", F.col("x.v").alias("v")))
+    del ranked
+    release(spark)
+    some = first.select("v", F.col("grp").alias("other")).distinct()
+    near = cut(first.join(some, "v").where("grp <> other").select("cls", "other").distinct())
+    del some, first
+    release(spark)
+    union = token.select("v", F.col("grp").alias("other")).join(near.select("other").distinct(), "other", "left_semi").distinct()
+    mine = token.join(near.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "v")
+    bound = mine.join(near, "cls").join(union, ["v", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("both"))
+    opened = cut(bound.where(SHARE[1] * F.col("both") >= SHARE[0] * F.col("n")).select("cls", "other"))
+    del bound, mine, union
+    release(spark)
     left = member.select("cls", F.col("grp").alias("a"), F.col("n").alias("n"), "vals")
     right = member.select(F.col("cls").alias("cls2"), F.col("grp").alias("other"), F.col("n").alias("n2"), F.col("vals").alias("vals2"))
     pairs = opened.join(left, "cls").join(right, "other").where((SHARE[1] * F.col("n") >= SHARE[0] * F.col("n2")) & (SHARE[1] * F.col("n2") >= SHARE[0] * F.col("n")) & (F.col("cls") < F.col("cls2")))
@@ -218,7 +234,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = sized.agg(F.sum("n_shingles")).first()[0] or 0
     bits = sharing.bits_for(total)
     classes = sized.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    alive = _promising(docs.mapInArrow(_spread(bits), sharing.BLOBS), classes)
+    alive = _promising(docs.mapInArrow(_spread(bits), sharing.BLOBS), classes, bits)
     alive = cut(alive.select("cls", "doc_id"))
     release(spark)
     sets = cut(docs.join(alive, "doc_id").select("cls", "text").mapInArrow(_kept_sets, "cls long, n long, vals array<long>, keys array<long>").dropDuplicates(["cls"]))
@@ -232,9 +248,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         active = active.join(led.where("cls = leader").select("cls"), "cls", "left_semi")
 
     member = sets.select("cls", "n", "vals").join(group, "cls")
-    held = member.agg(F.sum("n")).first()[0] or 0
-    again = _promising(member.select("cls", "grp", "vals").mapInArrow(_spread_groups(sharing.bits_for(held)), sharing.BLOBS), member)
-    links = cut(_links(cut(again)))
+    while True:  # a link is between two classes that stay, so what only others share stops counting
+        held = member.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+        bits = sharing.bits_for(held["n"] or 0)
+        member = cut(_promising(member.select("cls", "grp", "vals").mapInArrow(_spread_groups(bits), sharing.BLOBS), member, bits))
+        release(spark)
+        left = member.count()
+        if left >= 0.9 * held["rows"]:
+            break
+    links = cut(_links(member))
     root = components(links)
     if root is not None:
         group = group.join(root.withColumnRenamed("node", "grp"), "grp", "left").select("cls", F.coalesce("root", "grp").alias("grp"))
