@@ -40,6 +40,7 @@ SHARE = (3, 4)  # a similarity of 0.75
 ROUNDS = 4
 SALTS = 32
 BLOCK = 512
+CARRIED = 16
 
 
 def least(n):
@@ -149,25 +150,30 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _leaders(table: pa.Table) -> pa.Table:
     """For each class of a group its leader: the first class before it, in order, that it links with.
 
-    Leaders of one block at a time are held; a block's leaders don't see another block's.
+    Classes whose shingles most others of the group have come first: what copies were made from so
+    leads them, though they don't link with each other. Leaders of one block at a time are held,
+    with those of earlier blocks that most follow.
     """
     cls = table.column("cls").to_numpy()
-    order = np.argsort(cls)
     lists = table.column("vals").combine_chunks()
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    heads: list[tuple[int, np.ndarray]] = []
+    _, which, often = np.unique(flat[at[0] : at[-1]], return_inverse=True, return_counts=True)
+    central = np.add.reduceat(often[which], at[:-1] - at[0]) / np.diff(at)
+    order = np.lexsort((cls, -central))
+    heads: list[list] = []
     led = np.empty(len(cls), np.int64)
     for k, i in enumerate(order.tolist()):
         if k % BLOCK == 0:
-            heads = []
+            heads = sorted(heads, key=lambda x: -x[2])[:CARRIED]
         values = flat[at[i] : at[i + 1]].view(np.uint64)
-        for c, head in heads:
-            if _linked(values, head):
-                led[i] = c
+        for head in heads:
+            if _linked(values, head[1]):
+                led[i] = head[0]
+                head[2] += 1
                 break
         else:
             led[i] = cls[i]
-            heads.append((int(cls[i]), values))
+            heads.append([int(cls[i]), values, 0])
     return pa.table({"cls": cls, "leader": led})
 
 
