@@ -9,12 +9,16 @@ is 0.75 or more; a component is what links reach. The steps, each exact or an up
 3. Groups: alive classes are put together by the smallest shingle under a permutation and join
    the first leader there that they link with; the leaders go through further permutations.
    Each class then has a group, linked through leaders. Hot groups are salted in the first round.
-4. Token-group matrix: each group's union of shingles. The overlap of a class with another
-   group's union bounds its overlap with any member. A first bound counts shingles that any
-   other group has; for classes that pass, the matrix is joined on the rarest shingles that
-   could still allow a link, overlaps with those groups' unions are counted, and only groups that
-   reach three quarters are opened: their members are compared exactly, and links found.
-5. Components of groups over these links, by label propagation with pointer jumping.
+   Classes of which too few shingles occur in other groups are done.
+4. Families: leaders go through the same turns with a lower similarity, so that groups of near
+   copies that don't link, as after several turns of edits, still come together.
+5. Token-group matrix: each family's union of shingles. The overlap of a class with another
+   family's union bounds its overlap with any member. The matrix is joined on the rarest
+   shingles that could still allow a link, overlaps with those unions are counted, and only
+   families that reach three quarters are opened, besides a class's own.
+6. Opening: members of a family go to tasks as pairs of blocks; overlaps of two blocks are one
+   product of 0-1 matrices, and a task sends back a spanning forest of the groups that link there.
+7. Components of groups over these links, by label propagation with pointer jumping.
 
 Nulls and empty texts have no shingles: n_shingles 0, their own component. A null doc_id is kept
 as a row with a null component_id and links nothing. Rows with a repeated doc_id each get a row. An
@@ -37,10 +41,14 @@ from quiverlake.llm.components import components
 
 WIDTH = 5
 SHARE = (3, 4)  # a similarity of 0.75
+ALIKE = (1, 2)  # the similarity within families; it decides on cost, not on results
 ROUNDS = 4
+ALIKE_ROUNDS = 3
 SALTS = 32
 BLOCK = 512
 CARRIED = 16
+MEMBERS = 1024
+COLUMNS = 4096
 
 
 def least(n):
@@ -137,18 +145,18 @@ def _kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["cls", "n", "vals", "keys"])
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SHARE) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if SHARE[1] * len(small) < SHARE[0] * len(large):
+    if share[1] * len(small) < share[0] * len(large):
         return False
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
     both = int((large[at] == small).sum())
-    return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both)
+    return share[1] * both >= share[0] * (len(a) + len(b) - both)
 
 
-def _leaders(table: pa.Table) -> pa.Table:
-    """For each class of a group its leader: the first class before it, in order, that it links with.
+def _leaders(table: pa.Table, share: tuple[int, int]) -> pa.Table:
+    """For each class of a group its leader: the first class before it, in order, that is as similar as share.
 
     Classes whose shingles most others of the group have come first: what copies were made from so
     leads them, though they don't link with each other. Leaders of one block at a time are held,
@@ -167,7 +175,7 @@ def _leaders(table: pa.Table) -> pa.Table:
             heads = sorted(heads, key=lambda x: -x[2])[:CARRIED]
         values = flat[at[i] : at[i + 1]].view(np.uint64)
         for head in heads:
-            if _linked(values, head[1]):
+            if _linked(values, head[1], share):
                 led[i] = head[0]
                 head[2] += 1
                 break
@@ -177,6 +185,80 @@ def _leaders(table: pa.Table) -> pa.Table:
     return pa.table({"cls": cls, "leader": led})
 
 
+def _grouped(table: pa.Table) -> pa.Table:
+    return _leaders(table, SHARE)
+
+
+def _alike(table: pa.Table) -> pa.Table:
+    return _leaders(table, ALIKE)
+
+
+def _led(active: DataFrame, r: int, find) -> DataFrame:
+    """cls, leader of one turn over active (cls, vals, keys); the first turn is salted."""
+    key = [F.element_at("keys", r + 1), F.pmod(F.xxhash64("cls"), F.lit(SALTS if r == 0 else 1))]
+    return cut(active.select("cls", "vals", key[0].alias("key"), key[1].alias("salt")).groupBy("key", "salt").applyInArrow(find, "cls long, leader long"))
+
+
+class _Sets:
+    """Rows of a task: groups, and sets as positions in one flat array."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        lists = rows.column("vals").combine_chunks()
+        self.at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        self.flat = flat[self.at[0] : self.at[-1]]
+        self.at = self.at - self.at[0]
+        self.n = np.diff(self.at)
+        self.grp = long_ids(rows.column("grp"))
+
+    def ones(self, columns: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The 0-1 matrix of sets lo..hi over the sorted columns."""
+        values = self.flat[self.at[lo] : self.at[hi]]
+        place = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+        there = columns[place] == values
+        out = np.zeros((hi - lo, len(columns)), np.float32)
+        out[np.repeat(np.arange(hi - lo), self.n[lo:hi])[there], place[there]] = 1
+        return out
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """Links between the rows of side 0 and those of side 1, or among side 0 if there are no others.
+
+    Whole overlaps are counted, MEMBERS times MEMBERS rows and COLUMNS shingles at a time (float32
+    counts are exact below 2 ** 24). Groups that link are given as edges to the first group they reach.
+    """
+    side = rows.column("side").to_numpy()
+    left = _Sets(rows.filter(pa.array(side == 0)))
+    right = _Sets(rows.filter(pa.array(side == 1))) if (side == 1).any() else left
+    common = np.intersect1d(left.flat, right.flat)
+    if right is left:
+        value, often = np.unique(left.flat, return_counts=True)
+        common = value[often > 1]
+    groups, node = np.unique(np.concatenate([left.grp, right.grp]), return_inverse=True)
+    node_left, node_right = node[: len(left.grp)], node[len(left.grp) :]
+    label = np.arange(len(groups))
+    for a in range(0, len(left.n), MEMBERS):
+        a2 = min(a + MEMBERS, len(left.n))
+        for b in range(a if right is left else 0, len(right.n), MEMBERS):
+            b2 = min(b + MEMBERS, len(right.n))
+            both = np.zeros((a2 - a, b2 - b), np.float32)
+            for c in range(0, len(common), COLUMNS):
+                columns = common[c : c + COLUMNS]
+                both += left.ones(columns, a, a2) @ right.ones(columns, b, b2).T
+            both = both.astype(np.int64)
+            x, y = np.nonzero(SHARE[1] * both >= SHARE[0] * (left.n[a:a2, None] + right.n[None, b:b2] - both))
+            x, y = node_left[a:a2][x], node_right[b:b2][y]
+            while (label[x] != label[y]).any():
+                low = np.minimum(label[x], label[y])
+                np.minimum.at(label, x, low)
+                np.minimum.at(label, y, low)
+                np.minimum.at(label, label[x], low)
+                np.minimum.at(label, label[y], low)
+    while (label[label] != label).any():
+        label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(groups)))
+    return pa.table({"a": groups[moved], "b": groups[label[moved]]})
+
+
 def _spread_groups(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,32 +285,50 @@ def _promising(blobs: DataFrame, sized: DataFrame, bits: int) -> DataFrame:
 
 
 def _links(member: DataFrame) -> DataFrame:
-    """Links (a, b) between groups of member (cls, grp, n, vals), by the token-group matrix."""
+    """Links (a, b) between groups of member (cls, grp, family, n, vals), by the token-group matrix."""
     spark = member.sparkSession
-    token = member.select("cls", "grp", "n", F.explode("vals").alias("v"))
-    held = token.select("v", "grp").distinct().groupBy("v").agg(F.count("*").alias("groups")).where("groups > 1")
-    ranked = token.join(held, "v").groupBy("cls", "grp", "n").agg(F.array_sort(F.collect_list(F.struct("groups", "v"))).alias("ranked"))
+    opened = cut(_opened(member))
+    release(spark)
+    sizes = member.groupBy("family").agg(F.count("*").alias("members"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    asked = opened.groupBy(F.col("other").alias("family")).agg(F.count("*").alias("queries"))
+    blocks = sizes.join(asked, "family", "left").select(
+        "family",
+        (F.col("lo") < F.col("hi")).alias("several"),
+        F.ceil(F.col("members") / MEMBERS).alias("blocks"),
+        F.ceil(F.coalesce("queries", F.lit(0)) / MEMBERS).alias("parts"),
+    )
+    blocks = cut(blocks.where("several or parts > 0"))
+    # part 0 has the pairs of blocks of a family; parts from 1 have one block and queries of other families
+    none = "cast(array() as array<struct<i:bigint,j:bigint,part:bigint,side:bigint>>)"
+    own = f"if(several, transform(sequence(0L, blocks - 1), x -> struct(least(b, x) as i, greatest(b, x) as j, 0L as part, if(b > x, 1L, 0L) as side)), {none})"
+    for_others = f"if(parts > 0, transform(sequence(1L, greatest(parts, 1L)), x -> struct(b as i, b as j, x as part, 0L as side)), {none})"
+    members = member.join(blocks, "family").withColumn("b", F.expr("pmod(xxhash64(cls), blocks)")).select("family", "grp", "vals", F.explode(F.expr(f"concat({own}, {for_others})")).alias("at"))
+    queries = opened.withColumnRenamed("other", "family").join(member.select("cls", "grp", "vals"), "cls").join(blocks, "family")
+    queries = queries.select("family", "grp", "vals", F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> struct(x as i, x as j, 1 + pmod(xxhash64(cls), parts) as part, 1L as side))")).alias("at"))
+    tasks = members.unionByName(queries).select("family", "grp", "vals", "at.i", "at.j", "at.part", "at.side")
+    return tasks.groupBy("family", "i", "j", "part").applyInArrow(_compared, "a long, b long")
+
+
+def _opened(member: DataFrame) -> DataFrame:
+    """cls, other: families besides its own whose union of shingles has enough of a class's."""
+    spark = member.sparkSession
+    token = member.select("cls", "family", "n", F.explode("vals").alias("v"))
+    held = token.select("v", "family").distinct().groupBy("v").agg(F.count("*").alias("families")).where("families > 1")
+    ranked = token.join(held, "v").groupBy("cls", "family", "n").agg(F.array_sort(F.collect_list(F.struct("families", "v"))).alias("ranked"))
     # a link needs `least` of the n values, so in any fixed order both sides have one of their first
-    # n - least + 1 in common; values of one group come first and can't be it, so they only take places
+    # n - least + 1 in common; values of one family come first and can't be it, so they only take places
     places = F.size("ranked") - F.expr(f"int(({SHARE[0]} * n + {SHARE[1] - 1}) div {SHARE[1]})") + 1
-    first = cut(ranked.where(places > 0).select("cls", "grp", F.explode(F.slice("ranked", F.lit(1), places)).alias("x")).select("cls", "grp", F.col("x.v").alias("v")))
+    first = cut(ranked.where(places > 0).select("cls", "family", F.explode(F.slice("ranked", F.lit(1), places)).alias("x")).select("cls", "family", F.col("x.v").alias("v")))
     del ranked
     release(spark)
-    some = first.select("v", F.col("grp").alias("other")).distinct()
-    near = cut(first.join(some, "v").where("grp <> other").select("cls", "other").distinct())
+    some = first.select("v", F.col("family").alias("other")).distinct()
+    near = cut(first.join(some, "v").where("family <> other").select("cls", "other").distinct())
     del some, first
     release(spark)
-    union = token.select("v", F.col("grp").alias("other")).join(near.select("other").distinct(), "other", "left_semi").distinct()
+    union = token.select("v", F.col("family").alias("other")).join(near.select("other").distinct(), "other", "left_semi").distinct()
     mine = token.join(near.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "v")
     bound = mine.join(near, "cls").join(union, ["v", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("both"))
-    opened = cut(bound.where(SHARE[1] * F.col("both") >= SHARE[0] * F.col("n")).select("cls", "other"))
-    del bound, mine, union
-    release(spark)
-    left = member.select("cls", F.col("grp").alias("a"), F.col("n").alias("n"), "vals")
-    right = member.select(F.col("cls").alias("cls2"), F.col("grp").alias("other"), F.col("n").alias("n2"), F.col("vals").alias("vals2"))
-    pairs = opened.join(left, "cls").join(right, "other").where((SHARE[1] * F.col("n") >= SHARE[0] * F.col("n2")) & (SHARE[1] * F.col("n2") >= SHARE[0] * F.col("n")) & (F.col("cls") < F.col("cls2")))
-    both = F.size(F.array_intersect("vals", "vals2"))
-    return pairs.withColumn("both", both).where(SHARE[1] * F.col("both") >= SHARE[0] * (F.col("n") + F.col("n2") - F.col("both"))).select("a", F.col("other").alias("b")).distinct()
+    return bound.where(SHARE[1] * F.col("both") >= SHARE[0] * F.col("n")).select("cls", "other")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -248,12 +348,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     group, active = sets.select("cls", F.col("cls").alias("grp")), sets
     for r in range(ROUNDS):
-        key = [F.element_at("keys", r + 1), F.pmod(F.xxhash64("cls"), F.lit(SALTS if r == 0 else 1))]
-        led = cut(active.select("cls", "vals", key[0].alias("key"), key[1].alias("salt")).groupBy("key", "salt").applyInArrow(_leaders, "cls long, leader long"))
+        led = _led(active, r, _grouped)
         group = cut(group.join(led.withColumnRenamed("cls", "grp"), "grp").select("cls", F.col("leader").alias("grp")))
         active = active.join(led.where("cls = leader").select("cls"), "cls", "left_semi")
+    family = active.select(F.col("cls").alias("grp"), F.col("cls").alias("family"))
+    for r in range(ALIKE_ROUNDS):
+        led = _led(active, r, _alike)
+        family = cut(family.join(led.withColumnRenamed("cls", "family"), "family").select("grp", F.col("leader").alias("family")))
+        active = active.join(led.where("cls = leader").select("cls"), "cls", "left_semi")
 
-    member = sets.select("cls", "n", "vals").join(group, "cls")
+    member = sets.select("cls", "n", "vals").join(group, "cls").join(family, "grp")
     while True:  # a link is between two classes that stay, so what only others share stops counting
         held = member.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
         bits = sharing.bits_for(held["n"] or 0)
