@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,31 @@ def test_links_reach_over_groups(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+@pytest.mark.parametrize("others", [False, True])
+def test_blocks_find_all_links(monkeypatch, others):
+    """Links of a family, a few rows and shingles at a time, connect what a plain scan connects."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 7)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 16)
+    rng = np.random.default_rng(3)
+    base = np.arange(60) * 1000
+    sets = [np.sort(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.2]), base + rng.integers(1, 4, 60), base)) for _ in range(40)]
+    side = [int(others and k >= 25) for k in range(40)]
+    rows = pa.table({"grp": pa.array([100 + k // 2 for k in range(40)], pa.int64()), "vals": pa.array(sets, pa.list_(pa.int64())), "side": pa.array(side, pa.int64())})
+    found = jaccard_join._compared(rows)
+    links = [(100 + a // 2, 100 + b // 2) for a in range(40) for b in range(40) if (not others or side[a] < side[b]) and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))]
+
+    def reached(edges):
+        root = {g: g for g in range(100, 120)}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    want = reached(links)
+    assert reached(list(zip(*[found.column(c).to_pylist() for c in "ab"], strict=True))) == want
+    assert 1 < len(set(want.values())) < 20
+
+
 def test_secrets(docs, empty):
     assert secrets.scan(empty).count() == 0
     got = {r["doc_id"]: r["secret_spans"] for r in secrets.scan(docs).collect()}
