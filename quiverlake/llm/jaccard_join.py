@@ -247,14 +247,15 @@ def _compared(rows: pa.Table) -> pa.Table:
             both = both.astype(np.int64)
             x, y = np.nonzero(SHARE[1] * both >= SHARE[0] * (left.n[a:a2, None] + right.n[None, b:b2] - both))
             x, y = node_left[a:a2][x], node_right[b:b2][y]
-            while (label[x] != label[y]).any():
-                low = np.minimum(label[x], label[y])
+            x, y = label[x], label[y]
+            while (apart := x != y).any():  # every label is a root here; roots hook to lower ones, so earlier tiles' links stay
+                x, y = x[apart], y[apart]
+                low = np.minimum(x, y)
                 np.minimum.at(label, x, low)
                 np.minimum.at(label, y, low)
-                np.minimum.at(label, label[x], low)
-                np.minimum.at(label, label[y], low)
-    while (label[label] != label).any():
-        label = label[label]
+                while (label[label] != label).any():
+                    label = label[label]
+                x, y = label[x], label[y]
     moved = np.flatnonzero(label != np.arange(len(groups)))
     return pa.table({"a": groups[moved], "b": groups[label[moved]]})
 

@@ -82,6 +82,14 @@ def test_blocks_find_all_links(monkeypatch, others):
     assert 1 < len(set(want.values())) < 20
 
 
+def test_links_of_different_tiles_stay():
+    a, b, c = list(range(16)), list(range(20)), list(range(4, 20))
+    sets = [(1, a), (2, b), *((10 + i, [1000 + i]) for i in range(jaccard_join.MEMBERS)), (0, c)]  # 1-2 links in the first tile, 2-0 in the next
+    rows = pa.table({"side": [0] * len(sets), "grp": [g for g, _ in sets], "vals": pa.array([v for _, v in sets], pa.list_(pa.int64()))})
+    found = jaccard_join._compared(rows)
+    assert sorted(zip(*[found.column(n).to_pylist() for n in "ab"], strict=True)) == [(1, 0), (2, 0)]
+
+
 def test_secrets(docs, empty):
     assert secrets.scan(empty).count() == 0
     got = {r["doc_id"]: r["secret_spans"] for r in secrets.scan(docs).collect()}
