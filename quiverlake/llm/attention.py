@@ -1,16 +1,23 @@
-"""A small causal self-attention model in numpy: trained with Adam, scored in overlapping windows."""
+"""A causal self-attention model in numpy over real symbols: trained a batch of windows at a time, scored in overlapping windows.
+
+The next symbol is predicted in two factors that are both learned: its class, and the symbol within it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WINDOW = 32
 #: Tokens of each window after a document's first that are context only.
-OVERLAP = 4
+OVERLAP = 16
 WIDTH = 16
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 #: Weights are (1 + x/8)**8 where softmax has exp(x): three squarings, and close to it near 0.
 _FLOOR = np.float32(0.02)
+_DENSE = ("p", "q", "k", "v", "u", "b")
+_ROWS = ("e", "o", "ob")
 
 
 def _power(x: np.ndarray) -> np.ndarray:
@@ -21,106 +28,186 @@ def _power(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def windows(symbols: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every symbol as a target once: rows of WINDOW symbols before it and of targets, -1 where there is none."""
+    number = -(-sizes // WINDOW)
+    text = np.repeat(np.arange(len(sizes)), number)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+    at = ((np.cumsum(sizes) - sizes)[text] + k * WINDOW)[:, None] + np.arange(WINDOW)
+    real = np.arange(WINDOW) < (sizes[text] - k * WINDOW)[:, None]
+    last = max(0, len(symbols) - 1)
+    target = np.where(real, symbols[np.minimum(at, last)], -1).astype(np.int32)
+    before = np.where(real, symbols[np.clip(at - 1, 0, last)], 0).astype(np.int32)
+    before[k == 0, 0] = begin
+    return before, target
+
+
 class Attention:
-    """Predicts the next of `classes` symbols from those before it in the window; symbol `classes` begins a text."""
+    """Predicts the next of `symbols` from those before it in the window; symbol `symbols` begins a text.
 
-    def __init__(self, classes: int, seed: int = 5):
+    group has the class of each symbol (without it each is a class of its own), counts where to start from.
+    """
+
+    def __init__(self, symbols: int, group: np.ndarray | None = None, counts: np.ndarray | None = None, seed: int = 5):
         r = np.random.default_rng(seed)
-        d, c = WIDTH, classes
-        shape = {"e": (c + 1, d), "p": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "u": (d, c), "b": (c,)}
+        d = WIDTH
+        self.begin = symbols
+        self.group = np.arange(symbols) if group is None else group
+        self.size = np.bincount(self.group)
+        self.first = np.cumsum(self.size) - self.size
+        c = len(self.size)
+        members = np.argsort(self.group, kind="stable")
+        self.slot = np.empty(symbols, np.int64)
+        self.slot[members] = np.arange(symbols)
+        shape = {"e": (symbols + 1, d), "p": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "u": (d, c), "b": (c,)}
         self.w = {n: (r.standard_normal(s) * (0.3 if n in "e" else 0.1 if n == "p" else d**-0.5)).astype(np.float32) for n, s in shape.items()}
-        self.w["b"][:] = 0
-        self.classes = classes
+        weight = np.ones(symbols) if counts is None else counts + 0.5
+        each = np.bincount(self.group, weight)
+        self.w["b"] = (8 * ((each / each.sum()) ** 0.125 - 1)).astype(np.float32)
+        self.w["o"] = np.zeros((symbols, d), np.float32)  # by slot: a class has one run of rows
+        self.w["ob"] = np.log(weight / each[self.group])[members].astype(np.float32)[:, None]
 
-    def _forward(self, ids: np.ndarray):
-        w = self.w
-        x = w["e"][ids] + w["p"]
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-        s = 1 + q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5 / 8)
-        a = _power(s.copy()) * _SEEN
-        a /= a.sum(-1, keepdims=True)
-        h = x + a @ v
-        z = 1 + (h @ w["u"] + w["b"]) / np.float32(8)
-        return x, q, k, v, s, a, h, z
-
-    def train(self, ids: np.ndarray, target: np.ndarray, steps: int = 500, batch: int = 48, rate: float = 0.01, seed: int = 3) -> float:
-        """ids, target: rows of WINDOW symbols, target -1 where there is none. The last loss, in nats."""
+    def _runs(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, int]]:
+        """For each class of several symbols among the targets y: their places, the class and its slots."""
+        g = self.group[y]
+        some = np.flatnonzero(self.size[g] > 1)
+        some = some[np.argsort(g[some], kind="stable")]
+        if not len(some):
+            return
+        edge = np.flatnonzero(np.append(True, g[some][1:] != g[some][:-1]))
+        for a, b in zip(edge, np.append(edge[1:], len(some)), strict=True):
+            c = int(g[some[a]])
+            yield some[a:b], c, int(self.first[c]), int(self.first[c] + self.size[c])
+
+    def _within(self, h: np.ndarray, y: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities in a class for some rows of h, and the places of the targets."""
+        z = h[rows] @ self.w["o"][lo:hi].T
+        z += self.w["ob"][lo:hi, 0]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z, self.slot[y[rows]] - lo
+
+    def train(self, ids: np.ndarray, target: np.ndarray, passes: int = 1, batch: int = 128, rate: float = 0.01, seed: int = 3, done: float = 0.0, share: float = 1.0) -> float:
+        """ids, target: of windows(); each is used once in a pass. done and share: which part of the whole training this is. The last loss, in nats."""
         r, w = np.random.default_rng(seed), self.w
-        m, s2 = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
+        m, s2 = {n: np.zeros_like(w[n]) for n in _DENSE}, {n: np.zeros_like(w[n]) for n in _DENSE}
+        e2, o2, ob2 = np.full(len(w["e"]), 1e-8, np.float32), np.full(len(self.size), 1e-8), np.full(len(self.size), 1e-8)
+        flat = lambda y: y.reshape(-1, WIDTH)
+        turns = [a for _ in range(passes) for order in [r.permutation(len(ids))] for a in np.split(order, np.arange(batch, len(order), batch))]
         loss = 0.0
-        for t in range(1, steps + 1):
-            pick = r.integers(0, len(ids), batch)
+        for t, pick in enumerate(turns, 1):
             i, y = ids[pick], target[pick]
-            x, q, k, v, s, a, h, z = self._forward(i)
+            x = w["e"][i] + w["p"]
+            q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+            s = 1 + q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5 / 8)
+            a = _power(s.copy()) * _SEEN
+            a /= a.sum(-1, keepdims=True)
+            real = np.flatnonzero(y.ravel() >= 0)
+            h, goal = flat(x + a @ v)[real], y.ravel()[real]
+            n, g = np.float32(len(real)), self.group[goal]
+            z = 1 + (h @ w["u"] + w["b"]) / np.float32(8)
             p = _power(z.copy())
             p /= p.sum(-1, keepdims=True)
-            real = y >= 0
-            n = max(1, int(real.sum()))
-            rows = np.nonzero(real)
-            now = -np.log(p[rows[0], rows[1], y[rows]] + 1e-9).sum() / n
-            loss = now if t == 1 else 0.95 * loss + 0.05 * now
-            dz = p
-            dz[rows[0], rows[1], y[rows]] -= 1
-            dz *= real[..., None] / np.float32(n) * (z > _FLOOR) / np.maximum(z, _FLOOR)
-            g = {"b": dz.sum((0, 1)), "u": np.einsum("btd,btc->dc", h, dz, optimize=True)}
-            dh = dz @ w["u"].T
+            at = np.arange(len(real)), g
+            now = -np.log(p[at] + 1e-9).sum()
+            p[at] -= 1
+            p *= (z > _FLOOR) / np.maximum(z, _FLOOR) / n
+            grad = {"b": p.sum(0), "u": h.T @ p}
+            dreal = p @ w["u"].T
+            pace = np.float32(min(1.0, t / 20) * (1 - 0.9 * (done + share * t / len(turns))))
+            for rows, c, lo, hi in self._runs(goal):
+                dz, spot = self._within(h, goal, rows, lo, hi)
+                now -= np.log(dz[np.arange(len(rows)), spot] + 1e-30).sum()
+                dz[np.arange(len(rows)), spot] -= 1
+                dz /= n
+                dreal[rows] += dz @ w["o"][lo:hi]
+                do, db = dz.T @ h[rows], dz.sum(0)
+                o2[c] += (do * do).sum()
+                ob2[c] += (db * db).sum()
+                w["o"][lo:hi] -= do * np.float32(50 * rate * pace / o2[c] ** 0.5)
+                w["ob"][lo:hi, 0] -= db * np.float32(20 * rate * pace / ob2[c] ** 0.5)
+            loss = now / n if t == 1 else 0.95 * loss + 0.05 * now / n
+            dh = np.zeros((i.size, WIDTH), np.float32)
+            dh[real] = dreal
+            dh = dh.reshape(x.shape)
             da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
             ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5) * (s > _FLOOR) / np.maximum(s, _FLOOR)
             dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            flat = lambda y: y.reshape(-1, WIDTH)
-            g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
+            grad |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
             dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-            g["p"] = dx.sum(0)
-            g["e"] = np.zeros_like(w["e"])
-            np.add.at(g["e"], i.ravel(), flat(dx))
-            now_rate = rate * min(1.0, t / 20) * (1 - 0.9 * t / steps)
-            for name, d in g.items():
+            grad["p"] = dx.sum(0)
+            order = np.argsort(i.ravel(), kind="stable")
+            ranked = i.ravel()[order]
+            edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+            some, de = ranked[edge], np.add.reduceat(flat(dx)[order], edge)
+            e2[some] += (de * de).sum(1)
+            w["e"][some] -= de * (np.float32(20 * rate * pace) / np.sqrt(e2[some]))[:, None]
+            for name, d in grad.items():
                 m[name] += 0.1 * (d - m[name])
                 s2[name] += 0.01 * (d * d - s2[name])
-                w[name] -= (now_rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(s2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                w[name] -= (rate * pace * (m[name] / (1 - 0.9**t)) / (np.sqrt(s2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return float(loss)
 
+    def dense(self) -> np.ndarray:
+        return np.concatenate([self.w[n].ravel() for n in _DENSE])
+
+    def rows(self) -> np.ndarray:
+        """A row for each symbol and slot: what is learned for it alone."""
+        pad = np.zeros((1, WIDTH + 1), np.float32)
+        return np.hstack([self.w["e"], np.vstack([np.hstack([self.w["o"], self.w["ob"]]), pad])])
+
+    def put(self, dense: np.ndarray, rows: np.ndarray) -> None:
+        at = np.cumsum([0, *(self.w[n].size for n in _DENSE)])
+        for n, a, b in zip(_DENSE, at, at[1:], strict=False):
+            self.w[n] = dense[a:b].reshape(self.w[n].shape).astype(np.float32)
+        rows = rows.astype(np.float32)
+        self.w |= {"e": rows[:, :WIDTH].copy(), "o": rows[:-1, WIDTH:-1].copy(), "ob": rows[:-1, -1:].copy()}
+
     def ready(self) -> Attention:
-        """Tables by place and symbol, so that scoring gathers instead of multiplying."""
+        """Products by symbol and by place, so that scoring gathers instead of multiplying."""
         w = self.w
-        x = w["e"][None] + w["p"][:, None]
-        self.tables = [np.ascontiguousarray(y.reshape(-1, y.shape[-1])) for y in (x @ w["q"] * np.float32(WIDTH**-0.5 / 8), x @ w["k"], x @ w["v"], 1 + (x @ w["u"] + w["b"]) / np.float32(8))]
-        self.out = np.ascontiguousarray(w["u"] / np.float32(8))
-        self.row = (np.arange(WINDOW) * (self.classes + 1))[None]
+        wide = np.hstack([w["q"] * np.float32(WIDTH**-0.5 / 8), w["k"], w["v"], np.eye(WIDTH, dtype=np.float32)])
+        self.table, self.place = w["e"] @ wide, w["p"] @ wide
         return self
 
-    def log_probability(self, symbols: np.ndarray, sizes: np.ndarray, block: int = 64) -> np.ndarray:
+    def log_probability(self, symbols: np.ndarray, sizes: np.ndarray, block: int = 128) -> np.ndarray:
         """Natural log probability of each text; symbols of all texts, one after another, each scored once."""
         step = WINDOW - OVERLAP
         more = np.maximum(0, -(-(sizes - WINDOW) // step))
-        windows = np.where(sizes > 0, 1 + more, 0)
+        number = np.where(sizes > 0, 1 + more, 0)
         first = np.cumsum(sizes) - sizes
-        text = np.repeat(np.arange(len(sizes)), windows)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        text = np.repeat(np.arange(len(sizes)), number)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
         out = np.zeros(len(text))
         place = np.arange(WINDOW)
         padded = np.concatenate([symbols, np.zeros(WINDOW + 1, symbols.dtype)])
-        q_table, k_table, v_table, z_table = self.tables
-        ones, all_ones = np.ones(WINDOW, np.float32), np.ones(self.classes, np.float32)
+        ones, scale, bias = np.ones(WINDOW, np.float32), self.w["u"] / np.float32(8), 1 + self.w["b"] / np.float32(8)
+        all_ones = np.ones(len(self.size), np.float32)
         for a in range(0, len(text), block):
             t, k = text[a : a + block], nth[a : a + block]
             begin = (first[t] + k * step)[:, None] + place
             left = (sizes[t] - k * step)[:, None]
-            target = padded[np.minimum(begin, len(padded) - 1)].astype(np.int64)
-            before = padded[np.maximum(begin - 1, 0)].astype(np.int64)
-            before[k == 0, 0] = self.classes
-            at = before + self.row
-            s = q_table.take(at, 0) @ k_table.take(at, 0).transpose(0, 2, 1)
+            before = padded[np.clip(begin - 1, 0, len(padded) - 1)].astype(np.int64)
+            before[k == 0, 0] = self.begin
+            x = self.table.take(before, 0)
+            x += self.place
+            q, key, v = (x[..., n * WIDTH : (n + 1) * WIDTH] for n in range(3))
+            s = q @ key.transpose(0, 2, 1)
             s += 1
             _power(s)
             s *= _SEEN
-            mix = s @ v_table.take(at, 0)
+            mix = s @ v
             mix /= (s @ ones)[..., None]
-            z = mix.reshape(-1, WIDTH) @ self.out
-            z += z_table.take(at.ravel(), 0)
-            _power(z)
-            got = z.ravel()[np.arange(len(z)) * self.classes + target.ravel()]
-            logp = np.log(got / (z @ all_ones)).reshape(target.shape)
+            mix += x[..., 3 * WIDTH :]
             counted = (place < left) & ((place >= OVERLAP) | (k == 0)[:, None])
-            out[a : a + block] = np.where(counted, logp, 0).sum(-1)
+            h, y = mix[counted], padded[begin[counted]].astype(np.int64)
+            z = h @ scale
+            z += bias
+            _power(z)
+            logp = np.log(z[np.arange(len(y)), self.group[y]] / (z @ all_ones)).astype(float)
+            for rows, _, lo, hi in self._runs(y):
+                p, spot = self._within(h, y, rows, lo, hi)
+                logp[rows] += np.log(p[np.arange(len(rows)), spot] + 1e-30)
+            out[a : a + block] = np.bincount(np.nonzero(counted)[0], logp, minlength=len(t))
         return np.bincount(text, out, minlength=len(sizes))

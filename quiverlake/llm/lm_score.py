@@ -1,10 +1,11 @@
 """Language-model scoring: a causal self-attention model over subword ids.
 
 A text's tokens are its words (lower-cased A-Z) and one end. Each word is split into subwords of a
-public vocabulary. Subwords fall into classes: the HEAD most frequent of the training documents are classes
-of their own, of the others those that begin a word and those that don't share BANDS each by frequency. The attention model, trained in numpy on a bounded sample
-of at most TRAIN_DOCS training documents and TRAIN_CHARS characters, gives each next class; a class's
-subwords are weighed by their counts over all training documents. Overlapping windows score each token once.
+public vocabulary. The attention model, in numpy, reads and predicts the subword ids themselves: the class of
+the next one (the HEAD most frequent are classes of their own, the others come by frequency), then the id within the
+class, both by learned weights. It is trained on every token of all training documents: in each of ROUNDS rounds
+the batches of that round make a pass over their windows, and their changes are averaged. Overlapping
+windows score each token once, with half a window of context.
 
 The base score is a smoothed word model over all training documents. Documents are dealt to batches
 of about BATCH_CHARS; each batch sends its distinct words (64-bit hashes, with counts) to the
@@ -18,6 +19,7 @@ An empty table gives none; without training documents all counts are 0. Extra co
 from __future__ import annotations
 
 import base64
+import copy
 import os
 from collections.abc import Iterator
 
@@ -26,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.llm.attention import WINDOW, Attention
+from quiverlake.llm.attention import WIDTH, Attention, windows
 from quiverlake.llm.common import BLANKS, LOWER, buffers, crc_mod, cut, need, packed, release, table, unpacked, words_of
 
 VOCABULARY = os.environ.get("QUIVERLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 FOLDS, HELD_OUT = 5, 1
 BATCH_CHARS = 12_000_000
-HEAD, BANDS = 52, 6
-TRAIN_DOCS, TRAIN_CHARS = 800, 2_000_000
+#: Subwords that are classes of their own; the least size of other classes and its growth from one to the next.
+HEAD, FIRST, GROWTH = 52, 32, 1.15
+#: Rounds of training, windows a step, and the steps that small inputs get by repeated passes.
+ROUNDS, TRAIN_BATCH, LEAST_STEPS = 4, 128, 500
+SHARD = 1024
 PER_BUCKET = 400_000
 
 _encoders: dict[str, object] = {}
@@ -50,8 +55,6 @@ class Subwords:
         self.newline = ranks[b"\n"]
         self.size = max(ranks.values()) + 2
         self.end = self.size - 1
-        self.begins = np.zeros(self.size, bool)
-        self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
         self.coder = tiktoken.Encoding("words", pat_str=r"[^\n]{1,64}|\n", mergeable_ranks=ranks, special_tokens={})
 
     def of(self, words: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,34 +157,14 @@ def _answered(rows: pa.Table) -> pa.Table:
     })
 
 
-class Model:
-    """Classes of subwords, log probabilities within them, and the attention model over classes."""
-
-    def __init__(self, counts: np.ndarray, begins: np.ndarray):
-        order = np.argsort(-counts, kind="stable")
-        self.of = np.empty(len(counts), np.int64)
-        self.of[order[:HEAD]] = np.arange(min(HEAD, len(order)))
-        for side in (0, 1):
-            tail = order[HEAD:][begins[order[HEAD:]] == side]
-            share = np.cumsum(counts[tail] + 0.5)
-            self.of[tail] = HEAD + side * BANDS + np.minimum(BANDS - 1, (share / share[-1] * BANDS).astype(np.int64))
-        within = counts + 0.5
-        self.log = np.log(within / np.bincount(self.of, within, minlength=HEAD + 2 * BANDS)[self.of])
-        self.net = Attention(HEAD + 2 * BANDS)
-
-    def train(self, texts: list[np.ndarray]) -> float:
-        """texts: subword ids with the end."""
-        ids, target = [], []
-        for t in texts:
-            c = self.of[t]
-            for a in range(0, len(c), WINDOW):
-                y = c[a : a + WINDOW]
-                x = np.append(self.net.classes if a == 0 else c[a - 1], y[:-1])
-                ids.append(np.pad(x, (0, WINDOW - len(x))))
-                target.append(np.pad(y, (0, WINDOW - len(y)), constant_values=-1))
-        loss = self.net.train(np.array(ids), np.array(target)) if ids else 0.0
-        self.net.ready()
-        return loss
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """Class of each subword: the HEAD most frequent alone, the others by frequency in classes that grow by GROWTH."""
+    sizes = [1] * min(HEAD, len(counts))
+    while (left := len(counts) - sum(sizes)) > 0:
+        sizes.append(min(left, max(FIRST, int(sizes[-1] * GROWTH))))
+    of = np.empty(len(counts), np.int64)
+    of[np.argsort(-counts, kind="stable")] = np.repeat(np.arange(len(sizes)), sizes)
+    return of
 
 
 def _sequences(place: np.ndarray, doc: np.ndarray, ids: np.ndarray, sizes: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +181,87 @@ def _sequences(place: np.ndarray, doc: np.ndarray, ids: np.ndarray, sizes: np.nd
     return out, total
 
 
+def _trained(held):
+    """A batch's share in a round: one pass over every window of its training texts; what it changed, by shards of rows."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answers: pa.Table) -> pa.Table:
+        net, end, done, share, least = held.value
+        rows = rows.sort_by("turn")
+        distinct, place, doc, _ = vocabulary_of(rows.column("text").combine_chunks(), spelled=False)
+        ids, sizes = (unpacked(answers.column(c).to_pylist(), "<u4").astype(np.int64) for c in ("split", "pieces"))
+        sequence, length = _sequences(place, doc, ids, sizes, rows.num_rows, end)
+        learn = ~np.asarray(rows.column("held_out").combine_chunks())
+        out: dict[str, list] = {"shard": [], "ids": [], "change": [], "tokens": []}
+        if learn.any():
+            before, target = windows(sequence[np.repeat(learn, length)], length[learn], net.begin)
+            net = copy.deepcopy(net)
+            dense, each = net.dense(), net.rows()
+            passes = max(1, -(-least // -(-len(before) // TRAIN_BATCH)))
+            net.train(before, target, passes, TRAIN_BATCH, done=done, share=share)
+            each = net.rows() - each
+            some = np.flatnonzero(each.any(1))
+            n = int(length[learn].sum())
+            for a in range(0, len(each), SHARD):
+                if len(inside := some[(some >= a) & (some < a + SHARD)]):
+                    out["shard"].append(a // SHARD)
+                    out["ids"].append(packed(inside, "<u4"))
+                    out["change"].append(packed(each[inside], "<f4"))
+                    out["tokens"].append(n)
+            out["shard"].append(-1)
+            out["ids"].append(b"")
+            out["change"].append(packed(net.dense() - dense, "<f4"))
+            out["tokens"].append(n)
+        kinds = {"shard": pa.int64(), "ids": pa.binary(), "change": pa.binary(), "tokens": pa.int64()}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+    return run
+
+
+def _averaged(rows: pa.Table) -> pa.Table:
+    """Mean change of a shard over the batches that changed a row, weighed by their tokens."""
+    shard, tokens = rows.column("shard")[0].as_py(), rows.column("tokens").to_numpy().astype(float)
+    ids, cells = rows.column("ids").to_pylist(), rows.column("change").to_pylist()
+    width = len(cells[0]) // 4 if shard < 0 else 2 * WIDTH + 1
+    total, weight = np.zeros((1 if shard < 0 else SHARD, width)), np.zeros(1 if shard < 0 else SHARD)
+    for i, c, n in zip(ids, cells, tokens, strict=True):
+        at = np.zeros(1, np.int64) if shard < 0 else np.frombuffer(i, "<u4") - shard * SHARD
+        total[at] += np.frombuffer(c, "<f4").reshape(-1, width) * n
+        weight[at] += n
+    some = np.flatnonzero(weight)
+    return pa.table({"shard": pa.array([shard], pa.int64()), "ids": pa.array([packed(some, "<u4")], pa.binary()), "change": pa.array([packed(total[some] / weight[some, None], "<f4")], pa.binary()), "tokens": pa.array([int(tokens.sum())], pa.int64())})
+
+
+CHANGES = "shard long, ids binary, change binary, tokens long"
+
+
+def train(dealt: DataFrame, answers: DataFrame, net: Attention, end: int, batches: int) -> int:
+    """Trains net on every training text, in rounds of batches whose changes are averaged; the tokens it learned from."""
+    spark, rounds, seen = dealt.sparkSession, min(batches, ROUNDS), 0
+    replies = answers.where("split is not null").select("batch", "split", "pieces")
+    for r in range(rounds):
+        mine = F.pmod(F.col("batch"), F.lit(rounds)) == r
+        held = spark.sparkContext.broadcast((net, end, r / rounds, 1 / rounds, -(-LEAST_STEPS // rounds)))
+        texts = dealt.where(mine).withColumn("turn", F.xxhash64("doc_id", "text")).select("batch", "turn", "text", "held_out")
+        changed = texts.groupBy("batch").cogroup(replies.where(mine).groupBy("batch")).applyInArrow(_trained(held), CHANGES)
+        found = changed.groupBy("shard").applyInArrow(_averaged, CHANGES).collect()  # the model's size, whatever the input's
+        dense, rows = net.dense(), net.rows()
+        for x in found:
+            change = np.frombuffer(x["change"], "<f4")
+            if x["shard"] < 0:
+                dense, seen = dense + change, seen + x["tokens"]
+            else:
+                rows[np.frombuffer(x["ids"], "<u4").astype(np.int64) + x["shard"] * SHARD] += change.reshape(-1, rows.shape[1])
+        net.put(dense, rows)
+        held.destroy()
+        del changed
+        release(spark)
+    net.ready()
+    return seen
+
+
 def _scored(held):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answers: pa.Table) -> pa.Table:
-        model, end, docs, tokens, kinds = held.value
+        net, end, docs, tokens, kinds = held.value
         text = rows.column("text").combine_chunks()
         n = rows.num_rows
         distinct, place, doc, _ = vocabulary_of(text, spelled=False)
@@ -216,13 +277,8 @@ def _scored(held):
             base += np.bincount(doc, (np.log10(count + 0.5) - below)[place], minlength=n)
             known += np.bincount(doc, count[place] > 0, minlength=n).astype(np.int64)
             n_tokens += np.bincount(doc, minlength=n)
-        classes = model.of[ids].astype(np.uint8)
-        sequence, length = _sequences(place, doc, classes, sizes, n, int(model.of[end]))
-        nats = model.net.log_probability(sequence, length) + model.log[end]
-        if len(distinct):
-            before = np.append(0, np.cumsum(model.log[ids]))
-            stop = np.cumsum(sizes)
-            nats += np.bincount(doc, (before[stop] - before[stop - sizes])[place], minlength=n)
+        sequence, length = _sequences(place, doc, ids, sizes, n, end)
+        nats = net.log_probability(sequence, length)
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(n, int(tokens), np.int64), "base_score": base, "score": nats / np.log(10)})
 
     return run
@@ -249,20 +305,9 @@ def score_texts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     for r in pairs.collect():  # at most one row for each subword of the vocabulary
         counts[r[0]] = r[1]
     counts[sub.end] = train_docs
-    model = Model(counts, sub.begins)
-    some = rows.where("not held_out").select(F.xxhash64("doc_id", "text").alias("turn"), F.substring("text", 1, TRAIN_CHARS // 20).alias("text")).orderBy("turn").limit(TRAIN_DOCS).collect()
-    texts, held_chars = [], 0
-    for r in some:
-        if held_chars >= TRAIN_CHARS:
-            break
-        held_chars += len(r["text"])
-        texts.append(r["text"])
-    column = pa.array(texts, pa.string())
-    distinct, place, doc, words = vocabulary_of(column)
-    ids, sizes = sub.of(words, len(distinct)) if len(distinct) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    sequence, length = _sequences(place, doc, ids, sizes, len(texts), sub.end)
-    model.train(np.split(sequence, np.cumsum(length)[:-1]) if len(texts) else [])
-    held = spark.sparkContext.broadcast((model, sub.end, train_docs, tokens, kinds))
+    net = Attention(sub.size, classes_of(counts), counts)
+    train(dealt, answers, net, sub.end, batches)
+    held = spark.sparkContext.broadcast((net, sub.end, train_docs, tokens, kinds))
     replies = answers.select("batch", "bucket", "totals", "split", "pieces")
     scored = dealt.groupBy("batch").cogroup(replies.groupBy("batch"))
     kind = dict(docs.dtypes)["doc_id"]

@@ -265,3 +265,17 @@ def test_attention_scores_each_token_once():
     head = net.log_probability(s[:31].repeat(1), np.array([31]))[0]
     total = sum(np.exp(net.log_probability(np.append(s[:31], k).astype(np.uint8), np.array([32]))[0] - head) for k in range(7))
     assert total == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_trains_on_all_training_texts(spark, monkeypatch):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    word = ["ash", "birch", "cedar"]
+    rows = [(i, " ".join(word[(i + j) % 3] for j in range(20 + i % 60))) for i in range(2000)]  # over 800 texts
+    rows += [(5000 + i, "ash " * 40_000 + "cedar") for i in range(2)]  # over 100,000 characters
+    seen = []
+    real = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a: seen.append(real(*a)))
+    assert lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    sub = lm_score.encoder(lm_score.VOCABULARY)
+    pieces = {w: len(sub.of(f" {w}\n".encode(), 1)[0]) for w in word}
+    assert seen == [sum(1 + sum(pieces[w] for w in t.split()) for i, t in rows if not held(i))]
