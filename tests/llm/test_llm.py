@@ -279,3 +279,22 @@ def test_lm_trains_on_all_training_texts(spark, monkeypatch):
     sub = lm_score.encoder(lm_score.VOCABULARY)
     pieces = {w: len(sub.of(f" {w}\n".encode(), 1)[0]) for w in word}
     assert seen == [sum(1 + sum(pieces[w] for w in t.split()) for i, t in rows if not held(i))]
+
+
+def test_attention_sees_and_predicts_subword_ids():
+    r = np.random.default_rng(2)
+    follows = r.permutation(200)
+    start = r.integers(0, 200, 600)
+    texts = [start]
+    for _ in range(39):
+        texts.append(follows[texts[-1]])
+    ids = np.stack(texts, 1).ravel()
+    net = attention.Attention(200, lm_score.classes_of(np.bincount(ids, minlength=200)), np.bincount(ids, minlength=200))
+    assert net.size.max() > 1
+    sizes = np.full(600, 40)
+    unigram = net.ready().log_probability(ids, sizes).sum()
+    net.train(*attention.windows(ids, sizes, net.begin), passes=40)
+    assert net.ready().log_probability(ids, sizes).sum() > 0.6 * unigram
+    assert attention.OVERLAP == attention.WINDOW // 2
+    head = net.log_probability(ids[:35], np.array([35]))[0]
+    assert sum(np.exp(net.log_probability(np.append(ids[:35], k), np.array([36]))[0] - head) for k in range(200)) == pytest.approx(1, rel=1e-3)
