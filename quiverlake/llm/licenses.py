@@ -2,7 +2,7 @@
 
 Candidate blocks are the lines of a text that hold a license word, cut at sentence ends. Each is
 compressed alone and with every template as a zstandard raw dictionary; templates are ranked by how
-much smaller that makes it. The winner must save SAVED of the size, and is confirmed by exact wording: each of the
+much smaller that makes it. The winner is the first that is confirmed by exact wording, whatever it saves: each of the
 template's words must stand in the block in their order as one run, but for up to DIFFERENCES words,
 and words that tell one license from another (names, versions) may not differ.
 
@@ -36,7 +36,6 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 HINT = r"(?i)licen[sc]|redistribution"
-SAVED = 0.25
 DIFFERENCES = 2
 #: Only words of this kind may differ.
 FILLERS = set("a an and are by in is of or released subject terms that the this to under use work licensed".split())
@@ -101,9 +100,7 @@ class Scanner:
         out = []
         for a, b in self.blocks(text):
             block = text[a:b]
-            for saved, name in self.rank(block):
-                if saved < SAVED and len(words(block)) <= 3 * len(self.templates[name][0]):
-                    break
+            for _, name in self.rank(block):
                 if where := self.confirmed(block, name):
                     out.append((name, a + where[0], a + where[1]))
                     break

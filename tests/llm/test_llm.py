@@ -242,6 +242,16 @@ def test_licenses(docs, empty):
     assert s.scan("This license is not one of them. Licensed under terms of nobody.") == []
 
 
+@pytest.mark.parametrize("name, text", [
+    ("MIT", "The accompanying documentation and sample programs are Released under the MIT License."),
+    ("MIT", "Copyright 2019 Margaret Fitzgerald and contributors, Released under the MIT License."),
+    ("CC-BY-4.0", "Photographs by the editorial committee, Licensed under CC BY 4.0."),
+    ("Apache-2.0", "Copyright 2021 Northwind Instruments and individual contributors, Licensed under the Apache License, Version 2.0."),
+])
+def test_licenses_in_long_sentences(name, text):
+    assert [x[0] for x in licenses.Scanner().scan(text)] == [name]
+
+
 def test_lm(docs, empty):
     assert lm_score.score_texts(empty).count() == 0
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
