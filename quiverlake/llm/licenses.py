@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that hold a license word, cut at sentence ends. Each is
+Candidate blocks are the sentences that hold a license word, over line ends but not over blank lines. Each is
 compressed alone and with every template as a zstandard raw dictionary; templates are ranked by how
-much smaller that makes it. The winner is the first that is confirmed by exact wording, whatever it saves: each of the
-template's words must stand in the block in their order as one run, but for up to DIFFERENCES words,
+much smaller that makes it. The rank only decides between matches that overlap: each template is confirmed by exact wording,
+as often as it occurs. Each of its words must stand in the block in their order as one run, but for up to DIFFERENCES words,
 and words that tell one license from another (names, versions) may not differ.
 
 A null or empty text has no licenses. Each row gives a row; repeated rows give the same twice; an empty
@@ -40,7 +40,7 @@ DIFFERENCES = 2
 #: Only words of this kind may differ.
 FILLERS = set("a an and are by in is of or released subject terms that the this to under use work licensed".split())
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s|$)|\n|$)")
+_SENTENCE = re.compile(r"(?s).*?(?:[.!?](?=\s|\Z)|\n(?=[^\S\n]*\n)|\Z)")
 _HINT = re.compile(HINT)
 
 
@@ -72,12 +72,13 @@ class Scanner:
         size = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / size, k) for k, (_, c) in self.templates.items()), key=lambda x: (-x[0], x[1]))
 
-    def confirmed(self, block: str, name: str) -> tuple[int, int] | None:
-        """Where the wording stands: one run of the block's words, fillers apart equal to the template's."""
+    def confirmed(self, block: str, name: str) -> Iterator[tuple[int, int]]:
+        """Where the wording stands, each time: one run of the block's words, fillers apart equal to the template's."""
         found = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
         wanted = self.templates[name][0]
         strict = [w for w in wanted if w not in FILLERS]
-        for i in range(len(found)):
+        i = 0
+        while i < len(found):
             j = skipped = k = 0
             while i + j < len(found) and k < len(strict) and skipped <= DIFFERENCES + len(wanted) - len(strict):
                 w = found[i + j][0]
@@ -92,18 +93,21 @@ class Scanner:
                 have = [x[0] for x in found[i : i + j]]
                 missing = sum(max(0, wanted.count(w) - have.count(w)) for w in set(wanted) & FILLERS)
                 if missing <= DIFFERENCES and len(have) - len(strict) <= len(wanted) - len(strict) + DIFFERENCES:
-                    return found[i][1], found[i + j - 1][2]
-        return None
+                    yield found[i][1], found[i + j - 1][2]
+                    i += j
+                    continue
+            i += 1
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(license, start, end) in code points, by start."""
         out = []
         for a, b in self.blocks(text):
-            block = text[a:b]
+            block, taken = text[a:b], []
             for _, name in self.rank(block):
-                if where := self.confirmed(block, name):
-                    out.append((name, a + where[0], a + where[1]))
-                    break
+                for start, end in self.confirmed(block, name):
+                    if all(end <= x or y <= start for _, x, y in taken):
+                        taken.append((name, start, end))
+            out += [(name, a + start, a + end) for name, start, end in sorted(taken, key=lambda x: x[1])]
         return out
 
 

@@ -252,6 +252,17 @@ def test_licenses_in_long_sentences(name, text):
     assert [x[0] for x in licenses.Scanner().scan(text)] == [name]
 
 
+def test_licenses_several_in_a_sentence_and_over_lines():
+    s = licenses.Scanner()
+    assert [x[0] for x in s.scan("Released under the MIT License or Licensed under the Apache License, Version 2.0.")] == ["MIT", "Apache-2.0"]
+    twice = "Released under the MIT License and once more Released under the MIT License."
+    assert [twice[a:b] for _, a, b in s.scan(twice)] == ["Released under the MIT License"] * 2
+    for name in ("BSD-3-Clause", "MPL-2.0", "GPL-3.0"):
+        w = licenses.TEMPLATES[name].split()
+        assert [x[0] for x in s.scan(" ".join(w[:5]) + "\n# " + " ".join(w[5:]))] == [name]
+    assert s.scan("Released under the MIT\n\nLicense") == []
+
+
 def test_lm(docs, empty):
     assert lm_score.score_texts(empty).count() == 0
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
