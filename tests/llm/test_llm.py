@@ -111,6 +111,19 @@ def test_entropy(spark):
         assert spark.range(1).select(secrets.peak_entropy(F.lit(s))).first()[0] == pytest.approx(brute(s))
 
 
+def test_random_keys_of_each_alphabet_are_secrets(spark):
+    r = np.random.default_rng(4)
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in (digits + upper.lower(), upper + "234567", digits + upper + upper.lower(), digits + upper + upper.lower() + "+/"):
+        for n in (20, 32):
+            keys = ["".join(r.choice(list(alphabet), n)) for _ in range(400)]
+            keys = [k for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)]
+            found = secrets.scan(spark.createDataFrame([(k,) for k in keys], "text string")).where("exists(secret_spans, x -> x.rank = 3 and x.start = 0)").count()
+            assert found >= 0.97 * len(keys), (alphabet, n, found, len(keys))
+    plain = ["see internationalization-of-2023-reports now", "aaaaaaaaaabbbbbbbbbb1", "wordwordwordwordword2"]
+    assert secrets.scan(spark.createDataFrame([(k,) for k in plain], "text string")).where("size(secret_spans) > 0").count() == 0
+
+
 def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup(empty).count() == 0
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
