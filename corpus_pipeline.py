@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import shared_folder, table
+from quiverlake.llm.common import cut, shared_folder, table
 from quiverlake.llm.decontaminate import decontaminate
-from quiverlake.llm.jaccard_join import jaccard_components
+from quiverlake.llm.jaccard_join import labelled
 from quiverlake.llm.mixing import mix_sources
 from quiverlake.llm.quality import filter_quality
 from quiverlake.llm.secrets import redact
@@ -25,9 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; null ids stay."""
-    found = jaccard_components(docs)
-    return docs.join(found.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, of its smallest doc_id; null ids and texts without words stay.
+
+    Rows are told apart by doc_id and text: those that share a doc_id are decided each for itself.
+    """
+    row = cut(labelled(docs).where("grp is not null").groupBy("grp", F.col("doc_id").alias("row_id"), "text_hash").agg(F.count("*").alias("copies")))
+    first = row.groupBy("grp").agg(F.min(F.struct("row_id", "text_hash")).alias("first"))
+    told = row.join(first, "grp").withColumn("kept", F.struct("row_id", "text_hash") == F.col("first"))
+    keyed = docs.withColumn("row_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
+    key = ["row_id", "text_hash"]
+    kept = keyed.join(told.where("not kept or copies > 1").select(*key), key, "left_anti").select(*docs.columns)
+    repeated = cut(told.where("kept and copies > 1").select(*key))
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))
+    return kept
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

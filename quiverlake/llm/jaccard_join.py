@@ -85,7 +85,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for i, values in shingle_sets(batch.column("text")):
             n[i], cls[i] = len(values), class_of(values)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(cls)], names=["doc_id", "n_shingles", "cls"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(n), pa.array(cls)], names=["doc_id", "text_hash", "n_shingles", "cls"])
 
 
 def _spread(bits: int):
@@ -332,12 +332,12 @@ def _opened(member: DataFrame) -> DataFrame:
     return bound.where(SHARE[1] * F.col("both") >= SHARE[0] * F.col("n")).select("cls", "other")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text_hash, n_shingles, grp, which is null without shingles or doc_id."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = cut(docs.mapInArrow(_sizes, "doc_id long, n_shingles long, cls long"))
+    sized = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sizes, "doc_id long, text_hash long, n_shingles long, cls long"))
     total = sized.agg(F.sum("n_shingles")).first()[0] or 0
     bits = sharing.bits_for(total)
     classes = sized.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
@@ -372,7 +372,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if root is not None:
         group = group.join(root.withColumnRenamed("node", "grp"), "grp", "left").select("cls", F.coalesce("root", "grp").alias("grp"))
     group = cut(group)
-    whole = sized.join(group, "cls", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("grp", "cls")).alias("grp"))
+    return sized.join(group, "cls", "left").select("doc_id", "text_hash", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("grp", "cls")).alias("grp"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    whole = labelled(docs)
     smallest = whole.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("component_id"))
     return whole.join(smallest, "grp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -30,3 +30,10 @@ def test_stages(spark, tmp_path):
         if k == 3:
             assert secrets.scan(docs).where("exists(secret_spans, x -> x.rank < 3)").count() == 0
     assert {"copy_no", "mix_key"} <= set(docs.columns)
+
+
+def test_repeated_ids_are_decided_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, three), (8, ""), (8, ""), (None, one)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, one), (5, two), (7, three), (8, ""), (8, ""), (None, one)]))
