@@ -7,9 +7,8 @@ a time, so no Python object is made for a word or a text.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,32 +26,39 @@ CHUNK_BYTES = 1 << 19
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    Where the session names none, a local session, as in tests, gets a temporary folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="quiverlake-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint() in the shared folder: what follows doesn't depend on executors that are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: With it, Spark removes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop shuffle files whose plans are no longer referenced.
+def cut(df: DataFrame) -> DataFrame:
+    """An eager checkpoint() in the shared folder: what follows doesn't depend on executors that are lost.
 
-    What Python held is only collectable after one collection in the JVM, so there are three.
+    The shuffle files that led to it go, as the checkpoint stands for them.
     """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for frames made under it
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +94,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_POWER = np.array([0x9E3779B97F4A7C15], np.uint64)
-_NGRAM = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_NGRAM = np.random.default_rng(20240607).integers(1, 2**63, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The low bytes of a little-endian number that a piece of so many bytes fills.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,11 +137,34 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    if len(_POWER) < n:
-        _POWER = np.cumprod(np.full(max(n, 64) * 2, 0x9E3779B97F4A7C15, np.uint64))
-    return _POWER
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of text as one number, little-endian; zeros follow the end."""
+    held = np.zeros(len(text) + 8, np.uint8)
+    held[: len(text)] = text
+    return np.ndarray((len(text) + 1,), "<u8", held, strides=(1,))
+
+
+def beginnings(at: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the first k (8 at most) bytes from each of starts; at: eights() of the text."""
+    return mix((at[starts] & _FILLED[k]) + _STEP * np.uint64(k + 1000))
+
+
+def word_hashes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: its pieces of eight bytes are mixed with their places, then added up.
+
+    A sum of mixed values, not a polynomial, so no two words are made to agree by their letters' order.
+    """
+    at = eights(text)
+    total = mix((at[starts] & _FILLED[np.minimum(lengths, 8)]) + _STEP)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        begin, left = np.repeat(starts[long], more) + 8 * place, np.repeat(lengths[long], more) - 8 * place
+        piece = mix((at[begin] & _FILLED[np.minimum(left, 8)]) + _STEP * (place + 1).astype(np.uint64))
+        total[long] += np.add.reduceat(piece, first)
+    return mix(total + lengths.astype(np.uint64))
 
 
 def words_of(column: pa.Array, blanks: np.ndarray = BLANKS, fold: bool = True, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
@@ -177,11 +206,7 @@ def _words(raw: np.ndarray, at: np.ndarray, base: int, lo: int, hi: int, blanks:
     if not len(starts):
         none = np.zeros(0, np.int64)
         return Words(lo, hi, none, none, none, np.zeros(0, np.uint64))
-    letters = np.flatnonzero(inside)
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    value = _BYTE[text[letters]] * _powers(int(lengths.max()))[place]
-    hashed = mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
+    hashed = word_hashes(text, starts, lengths)
     doc = np.searchsorted(at, starts, "right") - 1
     return Words(lo, hi, doc, starts + base, ends + base, hashed)
 

@@ -80,20 +80,67 @@ class FMIndex:
         self.count = np.append(0, np.cumsum(np.bincount(text, minlength=sigma)))
         self.wavelet = Wavelet(text[self.sa - 1], sigma)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix-array interval of each row of patterns; a search stops once one suffix is left or none.
+    def _step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of what was read with c before it."""
+        both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        return self.count[c] + both[: len(c)], self.count[c] + both[len(c) :]
+
+    def matches(self, text: np.ndarray, sizes: np.ndarray, label: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the indexed pieces among those of smaller labels: piece, begin and end of each match of `least` or more.
 
-        An interval of one suffix is that of the part of the pattern that was read.
+        A piece is read backwards from an end; its interval shrinks with each symbol, and the least label in it
+        tells if a smaller piece still has what was read. Where it hasn't, the match is as long as it gets, and the next
+        end is one before. A piece that is matched to its beginning is done: what ends earlier lies within.
         """
+        minimum = Minimum(label[self.piece])
+        first = np.cumsum(sizes) - sizes
+        live = np.flatnonzero(sizes >= least)
+        end = sizes[live].copy()
+        at, lo, hi = end.copy(), np.zeros(len(live), np.int64), np.full(len(live), len(self.sa), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+        while len(live):
+            lo2, hi2 = self._step(text[first[live] + at - 1], lo, hi)
+            more = hi2 > lo2
+            more[more] = minimum.of(lo2[more], hi2[more]) < label[live[more]]
+            at[more] -= 1
+            lo[more], hi[more] = lo2[more], hi2[more]
+            over = ~more | (at == 0)
+            report = over & (end - at >= least)
+            found.append((live[report], at[report].copy(), end[report].copy()))
+            back = np.flatnonzero(~more)
+            end[back] -= 1
+            at[back], lo[back], hi[back] = end[back], 0, len(self.sa)
+            stay = (at > 0) & (end >= least)
+            live, end, at, lo, hi = live[stay], end[stay], at[stay], lo[stay], hi[stay]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix-array interval of each row of patterns; where nothing is found it is empty."""
         m, width = patterns.shape
         lo, hi = np.zeros(m, np.int64), np.full(m, len(self.sa), np.int64)
         live = np.arange(m)
         for j in reversed(range(width)):
-            c = patterns[live, j]
-            both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo[live], hi[live]]))
-            lo[live] = self.count[c] + both[: len(live)]
-            hi[live] = self.count[c] + both[len(live) :]
-            live = live[hi[live] - lo[live] > 1]
-            if not len(live):
-                break
+            lo[live], hi[live] = self._step(patterns[live, j], lo[live], hi[live])
+            live = live[hi[live] > lo[live]]
         return lo, hi
+
+
+class Minimum:
+    """The least value in any range, by a table of ranges of each power of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values.astype(np.int32)]
+        width = 1
+        while 2 * width <= len(values):
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last[:-width], last[width:]))
+            width *= 2
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of lo..hi, which aren't empty."""
+        level = np.frexp((hi - lo).astype(float))[1] - 1
+        out = np.empty(len(lo), np.int32)
+        for k in np.unique(level).tolist():
+            some = np.flatnonzero(level == k)
+            out[some] = np.minimum(self.levels[k][lo[some]], self.levels[k][hi[some] - (1 << k)])
+        return out

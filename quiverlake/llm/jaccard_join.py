@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlake.llm import sharing
-from quiverlake.llm.common import cut, long_ids, mix, need, ngrams, release, words_of
+from quiverlake.llm.common import cut, long_ids, mix, need, ngrams, words_of
 from quiverlake.llm.components import components
 
 WIDTH = 5
@@ -289,7 +289,6 @@ def _links(member: DataFrame) -> DataFrame:
     """Links (a, b) between groups of member (cls, grp, family, n, vals), by the token-group matrix."""
     spark = member.sparkSession
     opened = cut(_opened(member))
-    release(spark)
     sizes = member.groupBy("family").agg(F.count("*").alias("members"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
     asked = opened.groupBy(F.col("other").alias("family")).agg(F.count("*").alias("queries"))
     blocks = sizes.join(asked, "family", "left").select(
@@ -321,11 +320,9 @@ def _opened(member: DataFrame) -> DataFrame:
     places = F.size("ranked") - F.expr(f"int(({SHARE[0]} * n + {SHARE[1] - 1}) div {SHARE[1]})") + 1
     first = cut(ranked.where(places > 0).select("cls", "family", F.explode(F.slice("ranked", F.lit(1), places)).alias("x")).select("cls", "family", F.col("x.v").alias("v")))
     del ranked
-    release(spark)
     some = first.select("v", F.col("family").alias("other")).distinct()
     near = cut(first.join(some, "v").where("family <> other").select("cls", "other").distinct())
     del some, first
-    release(spark)
     union = token.select("v", F.col("family").alias("other")).join(near.select("other").distinct(), "other", "left_semi").distinct()
     mine = token.join(near.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "v")
     bound = mine.join(near, "cls").join(union, ["v", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("both"))
@@ -343,9 +340,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     classes = sized.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     alive = _promising(docs.mapInArrow(_spread(bits), sharing.BLOBS), classes, bits)
     alive = cut(alive.select("cls", "doc_id"))
-    release(spark)
     sets = cut(docs.join(alive, "doc_id").select("cls", "text").mapInArrow(_kept_sets, "cls long, n long, vals array<long>, keys array<long>").dropDuplicates(["cls"]))
-    release(spark)
 
     group, active = sets.select("cls", F.col("cls").alias("grp")), sets
     for r in range(ROUNDS):
@@ -363,7 +358,6 @@ def labelled(docs: DataFrame) -> DataFrame:
         held = member.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
         bits = sharing.bits_for(held["n"] or 0)
         member = cut(_promising(member.select("cls", "grp", "vals").mapInArrow(_spread_groups(bits), sharing.BLOBS), member, bits))
-        release(spark)
         left = member.count()
         if left >= 0.9 * held["rows"]:
             break

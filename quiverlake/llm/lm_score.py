@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlake.llm.attention import WIDTH, Attention, windows
-from quiverlake.llm.common import BLANKS, LOWER, buffers, crc_mod, cut, need, packed, release, table, unpacked, words_of
+from quiverlake.llm.common import BLANKS, LOWER, buffers, crc_mod, cut, need, packed, table, unpacked, words_of
 
 VOCABULARY = os.environ.get("QUIVERLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 FOLDS, HELD_OUT = 5, 1
@@ -254,7 +254,6 @@ def train(dealt: DataFrame, answers: DataFrame, net: Attention, end: int, batche
         net.put(dense, rows)
         held.destroy()
         del changed
-        release(spark)
     net.ready()
     return seen
 
@@ -296,7 +295,6 @@ def score_texts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
     asked = dealt.groupBy("batch").applyInArrow(_asked(bits, path), "batch long, bucket long, hashes binary, counts binary, ids array<long>, id_counts array<long>, split binary, pieces binary")
     answers = cut(asked.groupBy("bucket").applyInArrow(_answered, "batch long, bucket long, totals binary, kinds long, tokens long, ids array<long>, id_counts array<long>, split binary, pieces binary"))
-    release(spark)
     whole = answers.agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).first()
     kinds, tokens = (whole["kinds"] or 0) + (train_docs > 0), (whole["tokens"] or 0) + train_docs
     sub = encoder(path)

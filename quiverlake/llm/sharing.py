@@ -59,16 +59,32 @@ def blobs(items: np.ndarray, labels: np.ndarray | None, values: np.ndarray, plac
     yield pa.RecordBatch.from_pydict(out, schema=BLOBS_ARROW)
 
 
-def shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def direct(items: np.ndarray, places: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOBS for values that are known to be shared: their buckets are -1 - part, and passed_on() takes them."""
+    order = np.argsort(items, kind="stable")
+    items, places = items[order], places[order]
+    first = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+    back = sent_back(items[first], np.diff(np.append(first, len(items))), places, bits)
+    none = pa.nulls(back.num_rows, pa.binary())
+    yield from pa.table([pa.array(-1 - back.column("part").to_numpy(), pa.int32()), back.column("items"), none, back.column("counts"), none, back.column("places")], schema=BLOBS_ARROW).to_batches()
+
+
+def passed_on(rows: pa.Table) -> pa.Table:
+    """Rows of BACK for those of direct()."""
+    part = pa.array(-1 - rows.column("bucket").to_numpy().astype(np.int64))
+    return pa.table({"part": part, "items": rows.column("items"), "counts": rows.column("sizes"), "places": rows.column("places")})
+
+
+def shared(table: pa.Table, once: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's rows: items and sizes of its runs, which values two labels have, and places.
 
-    A run that comes again for the same item (from another task) is left out.
+    once: a run that comes again for the same item (from another task) is left out.
     """
     cells = {n: table.column(n).to_pylist() for n in ("items", "labels", "sizes", "vals", "places")}
     items, sizes = unpacked(cells["items"], "<i8"), unpacked(cells["sizes"], "<u4").astype(np.int64)
     vals, places = unpacked(cells["vals"], "<u4"), unpacked(cells["places"], "<u4")
     labels = unpacked(cells["labels"], "<i8") if cells["labels"][0] is not None else items
-    _, first = np.unique(items, return_index=True)
+    first = np.unique(items, return_index=True)[1] if once else items
     if len(first) < len(items):
         keep = np.zeros(len(items), bool)
         keep[first] = True

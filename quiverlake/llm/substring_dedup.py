@@ -1,20 +1,23 @@
 """Substring dedup: repeated passages, found with an FM-index per shard.
 
 A window is WINDOW consecutive words of one document; a word goes if a window over it also starts in
-a document with a smaller doc_id. Windows are kept apart by content first:
+a document with a smaller doc_id. Text is parted by content first:
 
 1. Each window has an anchor: the smallest hash of its GRAM-word sequences. The same window has the
-   same anchor anywhere. Anchors that only one document has (sharing.py) can't be in a repeated window.
-2. For each other anchor, the stretch of words of the windows that have it goes to the shard of
-   its hash, so equal windows meet in one shard and a document is never sent as a whole.
-3. A shard's distinct stretches make an FM-index: a wavelet tree over the Burrows-Wheeler transform.
-   All its distinct windows are streamed through backward search; a search ends early when a single suffix is left,
-   as the window is then only in its own stretch. The smallest doc_id in a window's interval of the suffix array says who has it first.
-4. Matches of WINDOW words and more are so the intervals to remove; they go back to their documents.
-
-Words are compared by 64-bit hashes. A null or empty text has no words. A null doc_id neither removes nor loses
-words. Rows with a repeated doc_id each get a row and don't remove from each other. Empty tables give none;
-extra columns are ignored.
+   same anchor anywhere, so anchors of one document only can't be in a repeated window. A map task
+   settles the anchors that several of its own documents have and asks, for each of these, for two of them only; so an
+   anchor in a third of all documents sends two values for each CHUNK of text.
+2. The stretch of words of the windows that have a shared anchor goes, as text, to the shard of
+   the anchor's hash. Equal stretches of a map task are sent once, for the smallest doc_id: for others all their windows are repeats.
+3. A shard's distinct stretches make an FM-index: a wavelet matrix over the Burrows-Wheeler transform.
+   The stretches are streamed backwards through it: an interval of suffixes stands for the words read so far, and the least doc_id in
+   it says if a smaller document has them. The longest such matches are their matching statistics; from WINDOW words on they are
+   intervals to remove.
+4. The intervals go back to their documents, one row for each.
+
+Words are told apart by 64-bit hashes, stretches by a hash of their words. A null or empty text has no words. A null doc_id neither
+removes nor loses words. Rows with a repeated doc_id each get a row and don't remove from each other. Empty tables give none;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlake.llm import sharing
-from quiverlake.llm.common import BLANKS, buffers, cut, long_ids, need, ngrams, packed, release, table, unpacked, words_of
+from quiverlake.llm.common import BLANKS, buffers, cut, long_ids, mix, need, ngrams, packed, table, unpacked, words_of
 from quiverlake.llm.fm_index import FMIndex
 
 WINDOW = 13
 GRAM = 7
+#: Bytes of text whose repeats a map task settles by itself.
+CHUNK = 4 << 20
 #: Words of stretches that a shard gets on average; the number of shards grows with the data.
 PER_SHARD = 600_000
-STRETCHES = "shard int, labels binary, keys binary, starts binary, sizes binary, words binary"
+STRETCHES = "shard int, labels binary, rows binary, starts binary, sizes binary, which binary, texts binary"
+HITS = "part long, ids binary, rows binary, starts binary, counts binary"
 
 
 def anchors(w) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +66,51 @@ def _firsts(w) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(key):
+        return iter(())
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True)
+
+
+def _settled(values: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values two labels have here, and which still have to be asked for: the others, and two of each of those."""
+    order = np.lexsort((labels, values))
+    ranked, whose = values[order], labels[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    last = np.append(first[1:], len(ranked)) - 1
+    twice = whose[first] != whose[last]
+    known, asked = np.empty(len(values), bool), np.zeros(len(values), bool)
+    known[order] = np.repeat(twice, last - first + 1)
+    asked[order[first]] = asked[order[last]] = True
+    return known, asked | ~known
+
+
 def _spread(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = long_ids(batch.column("doc_id")), long_ids(batch.column("k"))
-            for w in words_of(batch.column("text"), BLANKS, False, 4 << 20):
+            ids = long_ids(batch.column("doc_id"))
+            for w in words_of(batch.column("text"), BLANKS, False, CHUNK):
                 _, where, grams = anchors(w)
                 own = np.unique(where)
-                doc = w.doc[own] + w.lo if len(own) else own
-                if len(own):
-                    yield from sharing.blobs(keys[doc], ids[doc], grams[own], (own - _firsts(w)[doc - w.lo]).astype(np.uint32), bits)
+                if not len(own):
+                    continue
+                doc = w.doc[own]
+                label, place = ids[doc + w.lo], (own - _firsts(w)[doc]).astype(np.uint32)
+                known, asked = _settled(grams[own], label)
+                yield from sharing.blobs(label[asked], None, grams[own][asked], place[asked], bits)
+                if known.any():
+                    yield from sharing.direct(label[known], place[known], bits)
 
     return run
 
 
 def _flagged(bits: int):
     def run(rows: pa.Table) -> pa.Table:
-        items, sizes, flags, places = sharing.shared(rows)
+        if rows.column("bucket")[0].as_py() < 0:
+            return sharing.passed_on(rows)
+        items, sizes, flags, places = sharing.shared(rows, once=False)
         count = np.diff(np.append(0, np.cumsum(flags)[np.cumsum(sizes) - 1]))
         keep = count > 0
         return sharing.sent_back(items[keep], count[keep], places[flags], bits)
@@ -88,151 +122,197 @@ def _gathered(rows: pa.Table) -> pa.Table:
     """One row for each document with its anchors that others have."""
     items, counts, places, _ = sharing.gathered(rows)
     ends = np.cumsum(counts)
-    return pa.table({"k": items, "places": pa.array([packed(places[e - n : e], "<u4") for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())})
+    return pa.table({"id": items, "places": pa.array([packed(places[e - n : e], "<u4") for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())})
+
+
+def _hit_rows(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, counts: np.ndarray, bits: int) -> dict[str, list]:
+    """Cells of HITS by parts of the documents; row: a hash of the text, which tells rows of one doc_id apart."""
+    part = (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, ids, rows, starts, counts = part[order], ids[order], rows[order], starts[order], counts[order]
+    out: dict[str, list] = {"part": [], "ids": [], "rows": [], "starts": [], "counts": []}
+    for a, b in _runs(part):
+        out["part"].append(int(part[a]))
+        for name, values, kind in (("ids", ids, "<i8"), ("rows", rows, "<i8"), ("starts", starts, "<u4"), ("counts", counts, "<u2")):
+            out[name].append(packed(values[a:b], kind))
+    return out
+
+
+def _stretch_rows(w, ids: np.ndarray, hashes: np.ndarray, flagged: list, data: np.ndarray, shards: int, bits: int) -> Iterator[pa.RecordBatch]:
+    start, where, grams = anchors(w)
+    firsts = _firsts(w)
+    counts = np.diff(np.append(firsts, len(w.hash)))
+    marked = np.zeros(len(w.hash), bool)
+    for i, cell in enumerate(flagged):
+        place = np.frombuffer(cell, "<u4").astype(np.int64)
+        marked[place[place < counts[i]] + firsts[i]] = True
+    keep = marked[where]
+    start, where = start[keep], where[keep]
+    if not len(start):
+        return
+    new = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1)))
+    last = np.append(new[1:], len(start)) - 1
+    begin, size = start[new], start[last] - start[new] + WINDOW
+    shard, doc = (grams[where[new]] % np.uint64(shards)).astype(np.int64), w.doc[begin]
+    digest = _digests(w.hash, begin, size)
+    order = np.lexsort((begin, ids[doc], digest, shard))
+    begin, size, shard, doc, digest = begin[order], size[order], shard[order], doc[order], digest[order]
+    label, place, row = ids[doc], (begin - firsts[doc]).astype(np.uint32), hashes[doc]
+    lead = np.append(True, (digest[1:] != digest[:-1]) | (shard[1:] != shard[:-1]))
+    piece = np.cumsum(lead) - 1
+    own = label == label[np.flatnonzero(lead)][piece]  # occurrences in the document with the smallest doc_id
+    none: dict[str, list] = {"shard": [], "labels": [], "rows": [], "starts": [], "sizes": [], "which": [], "texts": []}
+    out, raw, base = none, data[w.start[0] : w.end[-1]].tobytes(), int(w.start[0])
+    head, mine = np.flatnonzero(lead), np.flatnonzero(own)
+    ends = np.searchsorted(shard[mine], np.arange(shards + 1))
+    for a, b in _runs(shard[head]):
+        s, h = int(shard[head[a]]), head[a:b]
+        occ = mine[ends[s] : ends[s + 1]]
+        out["shard"].append(s)
+        out["labels"].append(packed(label[h], "<i8"))
+        out["sizes"].append(packed(size[h], "<u2"))
+        out["texts"].append(b"\n".join([raw[x:y] for x, y in zip((w.start[begin[h]] - base).tolist(), (w.end[begin[h] + size[h] - 1] - base).tolist(), strict=True)]))
+        out["rows"].append(packed(row[occ], "<i8"))
+        out["starts"].append(packed(place[occ], "<u4"))
+        out["which"].append(packed(piece[occ] - a, "<u4"))
+    if not own.all():
+        hits = _hit_rows(label[~own], row[~own], place[~own], size[~own] - WINDOW + 1, bits)
+        out["shard"] += [-1 - p for p in hits["part"]]
+        for name, cells in (("labels", hits["ids"]), ("rows", hits["rows"]), ("starts", hits["starts"]), ("sizes", hits["counts"]), ("which", None), ("texts", None)):
+            out[name] += cells or [None] * len(hits["part"])
+    yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in out.items() if k != "shard")], names=list(out))
+
+
+def _digests(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each run of values: of a mixed value for each place, added up."""
+    total = size.astype(np.uint64)
+    for j in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > j)
+        total[some] += mix(hashes[begin[some] + j] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
+    return mix(total)
+
+
+def _stretches(shards: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, flagged, text = long_ids(batch.column("doc_id")), long_ids(batch.column("row")), batch.column("places").to_pylist(), batch.column("text")
+            _, data = buffers(text)
+            for w in words_of(text, BLANKS, False, CHUNK):
+                if len(w.hash) >= WINDOW:
+                    yield from _stretch_rows(w, ids[w.lo : w.hi], hashes[w.lo : w.hi], flagged[w.lo : w.hi], data, shards, bits)
+
+    return run
 
 
-def _stretches(shards: int):
+def repeats(words: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct stretches: stretch, begin and end of each longest match, of WINDOW words or more, with one of a smaller label."""
+    alphabet, text = np.unique(words, return_inverse=True)
+    _, rank = np.unique(labels, return_inverse=True)
+    index = FMIndex(text + 1, sizes, len(alphabet) + 1)
+    return index.matches(text + 1, sizes, rank, WINDOW)
+
+
+def _removed(bits: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        cells = {n: rows.column(n).to_pylist() for n in ("labels", "rows", "starts", "sizes", "which")}
+        labels, row, starts, sizes = unpacked(cells["labels"], "<i8"), unpacked(cells["rows"], "<i8"), unpacked(cells["starts"], "<u4"), unpacked(cells["sizes"], "<u2").astype(np.int64)
+        if key[0].as_py() < 0:
+            return pa.table({"part": pa.array([-1 - key[0].as_py()], pa.int64()), "ids": [packed(labels, "<i8")], "rows": [packed(row, "<i8")], "starts": [packed(starts, "<u4")], "counts": [packed(sizes, "<u2")]})
+        each = np.array([len(x) // 8 for x in cells["labels"]])
+        which = np.concatenate([np.frombuffer(x, "<u4") + k for x, k in zip(cells["which"], (np.cumsum(each) - each).tolist(), strict=True)]).astype(np.int64)
+        words = np.concatenate([w.hash for w in words_of(rows.column("texts").combine_chunks(), BLANKS, False, CHUNK)])
+        first = np.cumsum(sizes) - sizes
+        digest = _digests(words, first, sizes)
+        order = np.lexsort((labels, digest))
+        lead = np.append(True, digest[order][1:] != digest[order][:-1])
+        one = order[lead]  # of equal stretches the one with the smallest doc_id
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(lead) - 1
+        size1 = sizes[one]
+        pick = np.arange(int(size1.sum())) - np.repeat(np.cumsum(size1) - size1 - first[one], size1)
+        piece, begin, end = repeats(words[pick], size1, labels[one])
+
+        whose = of[which]
+        later = labels[which] > labels[one][whose]
+        ids, rws, at, n = [labels[which[later]]], [row[later]], [starts[later]], [sizes[which[later]] - WINDOW + 1]
+        owner = np.flatnonzero(~later)
+        by_piece = owner[np.argsort(whose[owner], kind="stable")]
+        lo, hi = np.searchsorted(whose[by_piece], piece), np.searchsorted(whose[by_piece], piece, "right")
+        match = np.repeat(np.arange(len(piece)), hi - lo)
+        occ = by_piece[np.arange(len(match)) - np.repeat(np.cumsum(hi - lo) - (hi - lo) - lo, hi - lo)]
+        ids.append(labels[which[occ]])
+        rws.append(row[occ])
+        at.append(starts[occ] + begin[match].astype(np.uint32))
+        n.append((end - begin)[match] - WINDOW + 1)
+        out = _hit_rows(np.concatenate(ids), np.concatenate(rws), np.concatenate(at), np.concatenate(n), bits)
+        return pa.table({k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in out.items()})
+
+    return run
+
+
+def _hits(rows: pa.Table) -> pa.Table:
+    """One row for each row of documents that loses words."""
+    cells = {n: rows.column(n).to_pylist() for n in ("ids", "rows", "starts", "counts")}
+    ids, row, starts, counts = unpacked(cells["ids"], "<i8"), unpacked(cells["rows"], "<i8"), unpacked(cells["starts"], "<u4"), unpacked(cells["counts"], "<u2")
+    order = np.lexsort((row, ids))
+    ids, row, starts, counts = ids[order], row[order], starts[order], counts[order]
+    edge = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    spans = list(zip(edge.tolist(), np.append(edge[1:], len(ids)).tolist(), strict=False))
+    return pa.table({"id": ids[edge], "row": row[edge], "starts": pa.array([packed(starts[a:b], "<u4") for a, b in spans], pa.binary()), "counts": pa.array([packed(counts[a:b], "<u2") for a, b in spans], pa.binary())})
+
+
+def _kept(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, flagged = long_ids(batch.column("doc_id")), long_ids(batch.column("k")), batch.column("places")
-            for w in words_of(batch.column("text"), BLANKS, False):
-                if len(w.hash) < WINDOW:
-                    continue
-                start, where, grams = anchors(w)
-                firsts = _firsts(w)
-                marked = np.zeros(len(w.hash), bool)
-                for i in range(w.lo, w.hi):
-                    marked[np.frombuffer(flagged[i].as_py(), "<u4").astype(np.int64) + firsts[i - w.lo]] = True
-                keep = marked[where]
-                start, where = start[keep], where[keep]
-                if not len(start):
-                    continue
-                new = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1)))
-                last = np.append(new[1:], len(start)) - 1
-                begin, size = start[new], start[last] - start[new] + WINDOW
-                shard = (grams[where[new]] % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                begin, size, shard = begin[order], size[order], shard[order]
-                doc = w.doc[begin]
-                first = np.cumsum(size) - size
-                words = w.hash[np.arange(size.sum()) - np.repeat(first - begin, size)]
-                edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                out: dict[str, list] = {n: [] for n in ("shard", "labels", "keys", "starts", "sizes", "words")}
-                for a, b in zip(edge.tolist(), np.append(edge[1:], len(shard)).tolist(), strict=True):
-                    out["shard"].append(int(shard[a]))
-                    out["labels"].append(packed(ids[doc[a:b] + w.lo], "<i8"))
-                    out["keys"].append(packed(keys[doc[a:b] + w.lo], "<i8"))
-                    out["starts"].append(packed(begin[a:b] - firsts[doc[a:b]], "<u4"))
-                    out["sizes"].append(packed(size[a:b], "<u2"))
-                    out["words"].append(packed(words[first[a] : first[b - 1] + size[b - 1]], "<u8"))
-                yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in out.items() if k != "shard")], names=list(out))
+            at, data = buffers(batch.column("text"))
+            starts, counts = batch.column("starts").to_pylist(), batch.column("counts").to_pylist()
+            n_words, n_removed, digest, texts = [], [], [], []
+            for i in range(batch.num_rows):
+                words = data[at[i] : at[i + 1]].tobytes().split()
+                gone = 0
+                if starts[i]:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    begin = np.frombuffer(starts[i], "<u4").astype(np.int64)
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + np.frombuffer(counts[i], "<u2") + WINDOW - 1, -1)
+                    keep = np.cumsum(edge)[:-1] == 0
+                    gone = int(len(words) - keep.sum())
+                    kept = b" ".join(compress(words, keep.tolist()))
+                else:
+                    kept = b" ".join(words)
+                n_words.append(len(words))
+                n_removed.append(gone)
+                digest.append(sha256(kept).hexdigest())
+                if with_text:
+                    texts.append(kept)
+            out = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+            if with_text:
+                out["kept_text"] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def owners(words: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each stretch, in order: the stretch and the smallest label that has the window."""
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(words)) - np.repeat(first, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
-    digest = np.add.reduceat(words * powers[place], first) + sizes.astype(np.uint64)
-    _, one, inverse = np.unique(digest, return_index=True, return_inverse=True)
-    label = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(label, inverse, labels)
-
-    size1 = sizes[one]
-    first1 = np.cumsum(size1) - size1
-    pick = np.arange(size1.sum()) - np.repeat(first1 - first[one], size1)
-    alphabet, text = np.unique(words[pick], return_inverse=True)
-    text = text + 1
-    index = FMIndex(text, size1, len(alphabet) + 1)
-    by_suffix = np.append(label[index.piece], np.iinfo(np.int64).max)
-
-    windows = size1 - WINDOW + 1
-    start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(first1, windows)
-    own = np.repeat(label, windows)
-    hashed = ngrams(words[pick], WINDOW)[start]
-    _, some, which = np.unique(hashed, return_index=True, return_inverse=True)
-    lo, hi = index.search(text[start[some][:, None] + np.arange(WINDOW)[None]])
-    least = own[some]
-    many = np.flatnonzero(hi - lo > 1)
-    if len(many):
-        order = many[np.argsort(lo[many], kind="stable")]
-        edges = np.stack([lo[order], hi[order]], 1).ravel()
-        least[order] = np.minimum.reduceat(by_suffix, edges)[::2]
-    least = least[which]
-    base1 = np.cumsum(windows) - windows
-
-    count = sizes - WINDOW + 1
-    piece = np.repeat(np.arange(len(sizes)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return piece, least[base1[inverse[piece]] + offset]
-
-
-def _removed(table_: pa.Table) -> pa.Table:
-    cells = {n: table_.column(n).to_pylist() for n in ("labels", "keys", "starts", "sizes", "words")}
-    labels, keys, starts = unpacked(cells["labels"], "<i8"), unpacked(cells["keys"], "<i8"), unpacked(cells["starts"], "<u4").astype(np.int64)
-    sizes, words = unpacked(cells["sizes"], "<u2").astype(np.int64), unpacked(cells["words"], "<u8")
-    piece, least = owners(words, sizes, labels)
-    count = sizes - WINDOW + 1
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-    hit = np.flatnonzero(least < labels[piece])
-    key, at = keys[piece[hit]], starts[piece[hit]] + offset[hit]
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order]
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return pa.table({"k": pa.array(key[edge], pa.int64()), "hits": pa.array([packed(at[a:b], "<u4") for a, b in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=False)], pa.binary())})
-
-
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, data = buffers(batch.column("text"))
-        hits = batch.column("hits").to_pylist()
-        n_words, n_removed, digest, texts = [], [], [], []
-        for i in range(batch.num_rows):
-            words = data[at[i] : at[i + 1]].tobytes().split()
-            gone = 0
-            if hits[i]:
-                edge = np.zeros(len(words) + 1, np.int64)
-                begin = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in hits[i]])).astype(np.int64)
-                edge[begin] += 1
-                np.add.at(edge, begin + WINDOW, -1)
-                keep = np.cumsum(edge)[:-1] == 0
-                gone = int(len(words) - keep.sum())
-                kept = b" ".join(compress(words, keep.tolist()))
-            else:
-                kept = b" ".join(words)
-            n_words.append(len(words))
-            n_removed.append(gone)
-            digest.append(sha256(kept).hexdigest())
-            texts.append(kept)
-        out = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text (the kept words, one space between) of each row."""
+def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text (the kept words, one space between) of each row."""
     need(docs, "doc_id", "text")
-    spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"))
-    known = keyed.where("doc_id is not null and text is not null")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = mine.where("doc_id is not null and text is not null")
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sharing.bits_for(int(chars) // 24)  # about a word in four is an anchor, of six characters
     sent = known.mapInArrow(_spread(bits), sharing.BLOBS).groupBy("bucket").applyInArrow(_flagged(bits), sharing.BACK)
-    flags = cut(sent.groupBy("part").applyInArrow(_gathered, "k long, places binary"))
-    del sent
-    release(spark)
+    flags = cut(sent.groupBy("part").applyInArrow(_gathered, "id long, places binary"))
     flagged = flags.agg(F.sum(F.length("places"))).first()[0] or 0
     shards = max(8, int(flagged // 4 * 17 // PER_SHARD) + 1)
-    pieces = known.join(flags, "k").mapInArrow(_stretches(shards), STRETCHES)
-    removed = cut(pieces.groupBy("shard").applyInArrow(_removed, "k long, hits binary"))
-    release(spark)
-    hits = removed.groupBy("k").agg(F.collect_list("hits").alias("hits"))
-    return keyed.join(hits, "k", "left").select("doc_id", "text", "hits").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    pieces = known.withColumn("row", F.xxhash64("text")).join(flags, known["doc_id"] == flags["id"]).select("doc_id", "row", "text", "places").mapInArrow(_stretches(shards, bits), STRETCHES)
+    removed = pieces.groupBy("shard").applyInArrow(_removed(bits), HITS)
+    hits = cut(removed.groupBy("part").applyInArrow(_hits, "id long, row long, starts binary, counts binary"))
+    told = mine.join(hits, (mine["doc_id"] == hits["id"]) & (F.xxhash64("text") == hits["row"]), "left").select("doc_id", "text", "starts", "counts")
+    return told.mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 ORACLE_SQL = r"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverlake.llm.common import BLANKS, LOWER, NOT_ALNUM, SAME, _BYTE, _powers, buffers, crc_mod, mix, need, packed, table
+from quiverlake.llm.common import BLANKS, LOWER, NOT_ALNUM, SAME, beginnings, buffers, crc_mod, eights, need, packed, table
 from quiverlake.llm.quality import NOT_PUNCTUATION, sample
 from quiverlake.llm.common import _words as split_words
 
@@ -58,15 +58,11 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _beginnings(text: np.ndarray, w, k: int) -> np.ndarray:
-    """Hash of the first k bytes of each word, 0 for shorter ones."""
+def _beginnings(at: np.ndarray, w, k: int) -> np.ndarray:
+    """Hash of the first k bytes of each word, 0 for shorter ones; at: eights() of the text."""
     out = np.zeros(len(w.start), np.uint64)
     long = np.flatnonzero(w.end - w.start >= k)
-    if len(long):
-        total = np.full(len(long), k + 1000, np.uint64)
-        for j in range(k):
-            total += _BYTE[text[w.start[long] + j]] * _powers(16)[j]
-        out[long] = mix(total) | np.uint64(1)
+    out[long] = beginnings(at, w.start[long], k) | np.uint64(1)
     return out
 
 
@@ -85,8 +81,8 @@ def stems(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         w = split_words(raw, own, 0, lo, hi, NOT_ALNUM, LOWER)
         if not len(w.doc):
             continue
-        text = LOWER[raw]
-        kinds = [w.hash, *(_beginnings(text, w, k) for k in PREFIXES)]
+        at = eights(LOWER[raw])
+        kinds = [w.hash, *(_beginnings(at, w, k) for k in PREFIXES)]
         cut = np.searchsorted(w.doc, np.arange(hi - lo + 1))
         for i in range(hi - lo):
             found = np.unique(np.concatenate([x[cut[i] : cut[i + 1]] for x in kinds]))
@@ -110,8 +106,9 @@ def dense(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray, np.ndarray])
         seed, known = _member(w.hash, seeds), _member(w.hash, learned)
         begin = np.zeros(len(w.doc), bool)
         if len(begins):
+            at = eights(text)
             for k in PREFIXES:
-                begin |= _member(_beginnings(text, w, k), begins)
+                begin |= _member(_beginnings(at, w, k), begins)
         bad, second = seed | known | begin, _member(w.hash, spoken_to)
         near = np.zeros(len(w.doc), bool)
         for j in range(1, NEAR + 1):
