@@ -99,7 +99,7 @@ def _spread(bits: int):
                 doc = w.doc[own]
                 label, place = ids[doc + w.lo], (own - _firsts(w)[doc]).astype(np.uint32)
                 known, asked = _settled(grams[own], label)
-                yield from sharing.blobs(label[asked], None, grams[own][asked], place[asked], bits)
+                yield from sharing.blobs(label[asked], None, mix(grams[own][asked]), place[asked], bits)  # anchors are minima: mixed, they spread evenly
                 if known.any():
                     yield from sharing.direct(label[known], place[known], bits)
 

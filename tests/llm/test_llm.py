@@ -231,22 +231,58 @@ def test_isotonic():
     assert (np.diff(p) >= 0).all() and (np.diff(at) > 0).all()
 
 
+def _nearest_brute(rows, k, width=None):
+    """(query id, rank, id, score) over usable rows of equal width, ties to smaller ids; rows: (id, vector)."""
+    usable_ = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
+    out = []
+    for q, x in usable_:
+        if q % 20 == 0:
+            near = sorted((-float((x * y).sum()), i) for i, y in usable_ if len(y) == len(x) and i != q)[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(near, 1)]
+    return out
+
+
 def test_nearest(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(300, 16)).astype(np.float32)
-    rows = [(i, v.tolist(), "z") for i, v in enumerate(x)] + [(1000, None, "z"), (1001, [0.0] * 16, "z"), (1002, [float("nan")] * 16, "z"), (1003, [None] * 16, "z"), (1004, x[0].tolist(), "z"), (None, x[1].tolist(), "z"), (1005, [1.0], "z")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell string")
-    got = nearest.search(df, F.col("vec_id") % 20 == 0, 5).collect()
-    ids, y = [*range(300), 1004], np.vstack([x, x[:1]]).astype(float)
-    want = set()
-    for q in range(0, 300, 20):
-        s = y @ y[q]
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
-        want |= {(q, k + 1, ids[i]) for k, i in enumerate(order)}
-    assert len(want & {(r["query_id"], r["rank"], r["vec_id"]) for r in got}) / len(want) > 0.95
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, x[0].tolist()), (None, x[1].tolist()), (1005, [1.0]), (1020, [2.0]), (1040, [1.0, 2.0])]
+    df = spark.createDataFrame([(*v, "z", 1, 2, 3.0) for v in rows], "vec_id long, embedding array<float>, cell string, run int, block int, score double")
+    got = {(g["query_id"], g["rank"], g["vec_id"]) for g in nearest.search(df, F.col("vec_id") % 20 == 0, 5).collect()}
+    want = {w[:3] for w in _nearest_brute(rows, 5)}
+    assert len(want & got) / len(want) > 0.95 and len(got) == len(want)
+    assert (1020, 1, 1005) in got and not any(g[0] == 1040 for g in got)
     assert nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_of_several_cells_runs_and_blocks(spark, monkeypatch):
+    """Doubles stay doubles, a repeated query has a list for each row, a third of the vectors are one."""
+    for name, value in (("SAMPLE", 400), ("PER_CELL", 100), ("RUN", 700), ("RUNS", 3), ("TILE", 128), ("PAIRS", 1000)):
+        monkeypatch.setattr(nearest, name, value)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(2000, 70)) + 2 * r.normal(size=(8, 70))[r.integers(0, 8, 2000)]
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[40]], "vec_id long, embedding array<double>")
+    got = [tuple(g) for g in nearest.search(df, F.col("vec_id") % 20 == 0, 10).collect()]
+    want = _nearest_brute([*rows, rows[40]], 10)
+    assert len(got) == len(want) and sum(g[0] == 40 for g in got) == 20
+    assert len(set(got) & set(want)) >= 0.9 * len(set(want))
+    exact = {(q, i): s for q, _, i, s in want}
+    assert all(s == pytest.approx(exact[q, i], abs=1e-12) for q, _, i, s in got if (q, i) in exact)
+
+
+def test_estimates_hold_their_bounds():
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 96)).astype(np.float32)
+    coder = nearest.Coder(x[:500], np.arange(500), 4)
+    run = nearest.Run(coder, np.arange(3000), x, *coder.encode(x))
+    q = r.normal(size=(50, 96)).astype(np.float32)
+    scores = np.sort(q @ x.T, 1)[:, ::-1]
+    a, b, s = run.search(q, np.full(50, -1), scores[:, 15].astype(np.float32), 10)
+    best = [set(np.argsort(-(q[i] @ x.T))[:10]) for i in range(50)]
+    assert sum(len(best[i] & set(b[a == i])) for i in range(50)) >= 480
+
+
 def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).where("size(licenses) > 0").count() == 0
     s = licenses.Scanner()
