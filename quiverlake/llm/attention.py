@@ -14,18 +14,23 @@ WINDOW = 32
 OVERLAP = 16
 WIDTH = 16
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-#: Weights are (1 + x/8)**8 where softmax has exp(x): three squarings, and close to it near 0.
-_FLOOR = np.float32(0.02)
+_ONES = np.ones(WINDOW, np.float32)
+#: Logits are held within this, so that exp() needs no row's maximum.
+_MOST = np.float32(60)
 _DENSE = ("p", "q", "k", "v", "u", "b")
 _ROWS = ("e", "o", "ob")
 
 
-def _power(x: np.ndarray) -> np.ndarray:
-    """In place: the eighth power of x = 1 + logit/8, which is held at _FLOOR or more."""
-    np.maximum(x, _FLOOR, out=x)
-    for _ in range(3):
-        np.multiply(x, x, out=x)
-    return x
+def _longest(x: np.ndarray) -> float:
+    """The length of the longest row."""
+    return float(np.einsum("...i,...i->...", x, x).max(initial=0)) ** 0.5
+
+
+def _exp(x: np.ndarray, bound: float = np.inf) -> np.ndarray:
+    """exp of logits, in place; bound: none of them is larger than it or smaller than its negative."""
+    if not bound < _MOST:
+        np.minimum(np.maximum(x, -_MOST, out=x), _MOST, out=x)
+    return np.exp(x, out=x)
 
 
 def windows(symbols: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,89 +68,102 @@ class Attention:
         self.w = {n: (r.standard_normal(s) * (0.3 if n in "e" else 0.1 if n == "p" else d**-0.5)).astype(np.float32) for n, s in shape.items()}
         weight = np.ones(symbols) if counts is None else counts + 0.5
         each = np.bincount(self.group, weight)
-        self.w["b"] = (8 * ((each / each.sum()) ** 0.125 - 1)).astype(np.float32)
+        self.w["b"] = np.log(each / each.sum()).astype(np.float32)
         self.w["o"] = np.zeros((symbols, d), np.float32)  # by slot: a class has one run of rows
         self.w["ob"] = np.log(weight / each[self.group])[members].astype(np.float32)[:, None]
 
     def _runs(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, int]]:
         """For each class of several symbols among the targets y: their places, the class and its slots."""
-        g = self.group[y]
-        some = np.flatnonzero(self.size[g] > 1)
-        some = some[np.argsort(g[some], kind="stable")]
-        if not len(some):
-            return
-        edge = np.flatnonzero(np.append(True, g[some][1:] != g[some][:-1]))
-        for a, b in zip(edge, np.append(edge[1:], len(some)), strict=True):
-            c = int(g[some[a]])
-            yield some[a:b], c, int(self.first[c]), int(self.first[c] + self.size[c])
-
-    def _within(self, h: np.ndarray, y: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities in a class for some rows of h, and the places of the targets."""
-        z = h[rows] @ self.w["o"][lo:hi].T
+        slot = self.slot[y]
+        order = np.argsort(slot)  # slots go by class
+        g = self.group[y][order]
+        edge = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else g
+        for a, b in zip(edge.tolist(), np.append(edge[1:], len(g)).tolist(), strict=False):
+            c = int(g[a])
+            if self.size[c] > 1:
+                yield order[a:b], c, int(self.first[c]), int(self.first[c] + self.size[c])
+
+    def _within(self, h: np.ndarray, y: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities in a class for the rows of h, and the places of their targets y."""
+        z = h @ self.w["o"][lo:hi].T
         z += self.w["ob"][lo:hi, 0]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z, self.slot[y[rows]] - lo
+        _exp(z)
+        z *= (1 / z.sum(1))[:, None]
+        return z, self.slot[y] - lo
 
     def train(self, ids: np.ndarray, target: np.ndarray, passes: int = 1, batch: int = 128, rate: float = 0.01, seed: int = 3, done: float = 0.0, share: float = 1.0) -> float:
         """ids, target: of windows(); each is used once in a pass. done and share: which part of the whole training this is. The last loss, in nats."""
-        r, w = np.random.default_rng(seed), self.w
+        r, w, d = np.random.default_rng(seed), self.w, WIDTH
         m, s2 = {n: np.zeros_like(w[n]) for n in _DENSE}, {n: np.zeros_like(w[n]) for n in _DENSE}
         e2, o2, ob2 = np.full(len(w["e"]), 1e-8, np.float32), np.full(len(self.size), 1e-8), np.full(len(self.size), 1e-8)
-        flat = lambda y: y.reshape(-1, WIDTH)
+        flat = lambda y: y.reshape(-1, d)
         turns = [a for _ in range(passes) for order in [r.permutation(len(ids))] for a in np.split(order, np.arange(batch, len(order), batch))]
-        loss = 0.0
+        root, all_ones, loss = np.float32(d**-0.5), np.ones(len(self.size), np.float32), 0.0
         for t, pick in enumerate(turns, 1):
             i, y = ids[pick], target[pick]
-            x = w["e"][i] + w["p"]
-            q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-            s = 1 + q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5 / 8)
-            a = _power(s.copy()) * _SEEN
-            a /= a.sum(-1, keepdims=True)
-            real = np.flatnonzero(y.ravel() >= 0)
-            h, goal = flat(x + a @ v)[real], y.ravel()[real]
-            n, g = np.float32(len(real)), self.group[goal]
-            z = 1 + (h @ w["u"] + w["b"]) / np.float32(8)
-            p = _power(z.copy())
-            p /= p.sum(-1, keepdims=True)
-            at = np.arange(len(real)), g
-            now = -np.log(p[at] + 1e-9).sum()
-            p[at] -= 1
-            p *= (z > _FLOOR) / np.maximum(z, _FLOOR) / n
-            grad = {"b": p.sum(0), "u": h.T @ p}
-            dreal = p @ w["u"].T
+            x = w["e"].take(i, 0)
+            x += w["p"]
+            wide = np.hstack([w["q"] * root, w["k"], w["v"]])
+            q, k, v = (np.ascontiguousarray(z).reshape(x.shape) for z in np.split(flat(x) @ wide, 3, 1))
+            a = _exp(q @ k.transpose(0, 2, 1), _longest(q) * _longest(k))
+            a *= _SEEN
+            a *= (1 / (a @ _ONES))[..., None]
+            seen = a @ v
+            h = flat(seen + x)
+            goal = y.ravel()
+            real = None if goal.min() >= 0 else np.flatnonzero(goal >= 0)
+            if real is not None:
+                h, goal = h[real], goal[real]
+            n, rows = np.float32(len(goal)), np.arange(len(goal))
+            p = h @ w["u"]
+            p += w["b"]
+            _exp(p, _longest(h) * _longest(w["u"].T) + float(np.abs(w["b"]).max()))
+            p *= (1 / (n * (p @ all_ones)))[:, None]
+            at = rows, self.group[goal]
+            now = -np.log(p[at] * n + 1e-30).sum()
+            p[at] -= 1 / n
+            grad = {"b": rows.size and p.T @ np.ones(len(goal), np.float32), "u": h.T @ p}
+            dh = p @ w["u"].T
             pace = np.float32(min(1.0, t / 20) * (1 - 0.9 * (done + share * t / len(turns))))
-            for rows, c, lo, hi in self._runs(goal):
-                dz, spot = self._within(h, goal, rows, lo, hi)
-                now -= np.log(dz[np.arange(len(rows)), spot] + 1e-30).sum()
-                dz[np.arange(len(rows)), spot] -= 1
+            for own, c, lo, hi in self._runs(goal):
+                mine = h[own]
+                dz, spot = self._within(mine, goal[own], lo, hi)
+                spot = np.arange(len(own)), spot
+                now -= np.log(dz[spot] + 1e-30).sum()
+                dz[spot] -= 1
                 dz /= n
-                dreal[rows] += dz @ w["o"][lo:hi]
-                do, db = dz.T @ h[rows], dz.sum(0)
-                o2[c] += (do * do).sum()
-                ob2[c] += (db * db).sum()
-                w["o"][lo:hi] -= do * np.float32(50 * rate * pace / o2[c] ** 0.5)
+                dh[own] += dz @ w["o"][lo:hi]
+                do, db = dz.T @ mine, dz.sum(0)
+                o2[c] += np.vdot(do, do)
+                ob2[c] += np.vdot(db, db)
+                do *= np.float32(50 * rate * pace / o2[c] ** 0.5)
+                w["o"][lo:hi] -= do
                 w["ob"][lo:hi, 0] -= db * np.float32(20 * rate * pace / ob2[c] ** 0.5)
             loss = now / n if t == 1 else 0.95 * loss + 0.05 * now / n
-            dh = np.zeros((i.size, WIDTH), np.float32)
-            dh[real] = dreal
+            if real is not None:
+                whole = np.zeros((i.size, d), np.float32)
+                whole[real] = dh
+                dh = whole
             dh = dh.reshape(x.shape)
-            da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-            ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5) * (s > _FLOOR) / np.maximum(s, _FLOOR)
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            grad |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-            dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+            ds, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+            ds -= np.einsum("bid,bid->bi", dh, seen)[..., None]
+            ds *= a
+            each = np.hstack([flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(dv)])
+            gq, gk, gv = np.split(flat(x).T @ each, 3, 1)
+            grad |= {"q": gq * root, "k": gk, "v": gv}
+            dx = (each @ wide.T).reshape(x.shape)
+            dx += dh
             grad["p"] = dx.sum(0)
-            order = np.argsort(i.ravel(), kind="stable")
+            order = np.argsort(i.ravel())
             ranked = i.ravel()[order]
             edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            some, de = ranked[edge], np.add.reduceat(flat(dx)[order], edge)
-            e2[some] += (de * de).sum(1)
-            w["e"][some] -= de * (np.float32(20 * rate * pace) / np.sqrt(e2[some]))[:, None]
-            for name, d in grad.items():
-                m[name] += 0.1 * (d - m[name])
-                s2[name] += 0.01 * (d * d - s2[name])
+            some, de = ranked[edge], np.add.reduceat(flat(dx).take(order, 0), edge)
+            e2[some] += np.einsum("ij,ij->i", de, de)
+            de *= (np.float32(20 * rate * pace) / np.sqrt(e2[some]))[:, None]
+            w["e"][some] -= de
+            for name, g in grad.items():
+                m[name] += 0.1 * (g - m[name])
+                s2[name] += 0.01 * (g * g - s2[name])
                 w[name] -= (rate * pace * (m[name] / (1 - 0.9**t)) / (np.sqrt(s2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return float(loss)
 
@@ -167,11 +185,11 @@ class Attention:
     def ready(self) -> Attention:
         """Products by symbol and by place, so that scoring gathers instead of multiplying."""
         w = self.w
-        wide = np.hstack([w["q"] * np.float32(WIDTH**-0.5 / 8), w["k"], w["v"], np.eye(WIDTH, dtype=np.float32)])
+        wide = np.hstack([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"], np.eye(WIDTH, dtype=np.float32)])
         self.table, self.place = w["e"] @ wide, w["p"] @ wide
         return self
 
-    def log_probability(self, symbols: np.ndarray, sizes: np.ndarray, block: int = 128) -> np.ndarray:
+    def log_probability(self, symbols: np.ndarray, sizes: np.ndarray, block: int = 256) -> np.ndarray:
         """Natural log probability of each text; symbols of all texts, one after another, each scored once."""
         step = WINDOW - OVERLAP
         more = np.maximum(0, -(-(sizes - WINDOW) // step))
@@ -182,8 +200,8 @@ class Attention:
         out = np.zeros(len(text))
         place = np.arange(WINDOW)
         padded = np.concatenate([symbols, np.zeros(WINDOW + 1, symbols.dtype)])
-        ones, scale, bias = np.ones(WINDOW, np.float32), self.w["u"] / np.float32(8), 1 + self.w["b"] / np.float32(8)
         all_ones = np.ones(len(self.size), np.float32)
+        most, least = _longest(self.w["u"].T), float(np.abs(self.w["b"]).max())
         for a in range(0, len(text), block):
             t, k = text[a : a + block], nth[a : a + block]
             begin = (first[t] + k * step)[:, None] + place
@@ -193,21 +211,19 @@ class Attention:
             x = self.table.take(before, 0)
             x += self.place
             q, key, v = (x[..., n * WIDTH : (n + 1) * WIDTH] for n in range(3))
-            s = q @ key.transpose(0, 2, 1)
-            s += 1
-            _power(s)
+            s = _exp(q @ key.transpose(0, 2, 1), _longest(q) * _longest(key))
             s *= _SEEN
             mix = s @ v
-            mix /= (s @ ones)[..., None]
+            mix *= (1 / (s @ _ONES))[..., None]
             mix += x[..., 3 * WIDTH :]
             counted = (place < left) & ((place >= OVERLAP) | (k == 0)[:, None])
             h, y = mix[counted], padded[begin[counted]].astype(np.int64)
-            z = h @ scale
-            z += bias
-            _power(z)
-            logp = np.log(z[np.arange(len(y)), self.group[y]] / (z @ all_ones)).astype(float)
+            z = h @ self.w["u"]
+            z += self.w["b"]
+            _exp(z, _longest(h) * most + least)
+            logp = np.log(z[np.arange(len(y)), self.group[y]] / (z @ all_ones) + 1e-30).astype(float)
             for rows, _, lo, hi in self._runs(y):
-                p, spot = self._within(h, y, rows, lo, hi)
+                p, spot = self._within(h[rows], y[rows], lo, hi)
                 logp[rows] += np.log(p[np.arange(len(rows)), spot] + 1e-30)
             out[a : a + block] = np.bincount(np.nonzero(counted)[0], logp, minlength=len(t))
         return np.bincount(text, out, minlength=len(sizes))

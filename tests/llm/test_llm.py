@@ -337,6 +337,35 @@ def test_attention_scores_each_token_once():
     assert total == pytest.approx(1, rel=1e-4)
 
 
+def test_attention_equals_a_plain_loop():
+    """The score of each token, one at a time, from the symbols before it in its window."""
+    r = np.random.default_rng(9)
+    group = lm_score.classes_of(r.integers(1, 50, 150))
+    net = attention.Attention(150, group, r.integers(1, 50, 150).astype(float), seed=1)
+    net.w["o"] = r.normal(size=net.w["o"].shape).astype(np.float32)
+    net.ready()
+    texts = [r.integers(0, 150, n) for n in (1, 7, 32, 33, 70)]
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    want = []
+    for t in texts:
+        total = 0.0
+        for i in range(len(t)):
+            step = attention.WINDOW - attention.OVERLAP
+            start = 0 if i < attention.WINDOW else (i - attention.OVERLAP) // step * step
+            before = [net.begin if j == 0 else t[j - 1] for j in range(start, i + 1)]
+            x = np.array([w["e"][s] + w["p"][k] for k, s in enumerate(before)])
+            a = soft(x[-1] @ w["q"] @ (x @ w["k"]).T / 4)
+            h = a @ (x @ w["v"]) + x[-1]
+            g = group[t[i]]
+            members = np.flatnonzero(group == g)
+            inside = soft(np.array([h @ w["o"][net.slot[m]] + w["ob"][net.slot[m], 0] for m in members]))
+            total += np.log(soft(h @ w["u"] + w["b"])[g]) + np.log(inside[list(members).index(t[i])])
+        want.append(total)
+    got = net.log_probability(np.concatenate(texts), np.array([len(t) for t in texts]))
+    np.testing.assert_allclose(got, want, rtol=1e-4)
+
+
 def test_lm_trains_on_all_training_texts(spark, monkeypatch):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     word = ["ash", "birch", "cedar"]
