@@ -71,6 +71,14 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def free(wanted: str, taken: list[str]) -> str:
+    """wanted, with as many underscores after it as it takes to be none of the columns in taken."""
+    lower = {t.lower() for t in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the id's decimal text, modulo m; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(m))

@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op2_secret_scan": secrets.ORACLE_SQL,
         "op3_substring_dedup": substring_dedup.ORACLE_SQL,
         "op5_mixing": mixing.ORACLE_SQL,
         "op7_decontamination": decontaminate.ORACLE_SQL,

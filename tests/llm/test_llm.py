@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -111,6 +112,51 @@ def test_entropy(spark):
         assert spark.range(1).select(secrets.peak_entropy(F.lit(s))).first()[0] == pytest.approx(brute(s))
 
 
+def test_base_and_entropy_spans_against_brute_force(spark, docs):
+    r = np.random.default_rng(5)
+    pool = list("abcdefABCDEF0123456789") + list("zZ+/_-=.: \n\"'") + ["password=", "Secret: '", "api_key = ", "apikey:", "AKIA", "TOKEN==", "é", "deadbeef" * 4, "sha256-", "Zk3/x9Qp+7LmW2vB8nTc"]
+    texts = ["".join(r.choice(pool, r.integers(1, 120))) for _ in range(300)] + TEXTS
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()
+
+    def peak(s, w=20):
+        return max((-sum(n / w * math.log2(n / w) for n in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1)), default=0.0)
+
+    for row in got:
+        t, want = row["text"] or "", []
+        want += [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m.group(2)) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, t) if len(m.group()) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, t) if len(m.group()) >= 32]
+        for m in re.finditer(secrets.CANDIDATE, t):
+            s = m.group()
+            bits = next((b for p, b in secrets.CLASSES if re.search(p, s)), secrets.KEY_BITS)
+            if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(re.search(p, s) for p in secrets.ALLOWED) and peak(s) >= bits:
+                want.append((m.start(), 3, m.end()))
+        assert [tuple(x) for x in row["secret_spans"]] == sorted(want), t
+
+
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    r = np.random.default_rng(6)
+    alphabet = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    seconds = []
+    for n in (2_000, 200_000):
+        text = r.choice(alphabet, n).tobytes().decode()
+        frame = spark.createDataFrame([(text,)], "text string")
+        secrets.scan(frame).collect()
+        began = time.time()
+        assert len(secrets.scan(frame).first()["secret_spans"]) >= 1
+        seconds.append(time.time() - began)
+    assert seconds[1] < 20  # a hundred times as long; quadratic it would take hours
+    many = spark.createDataFrame([("token=abcdefgh1 " * 20_000,)], "text string")
+    spans = secrets.scan(many).first()["secret_spans"]
+    assert len(spans) == 20_000 and tuple(spans[-1]) == (16 * 19_999, 0, 16 * 19_999 + 15)
+
+
+def test_secrets_keep_clashing_columns(spark):
+    frame = spark.createDataFrame([("password=abcdefgh12", "mine", 3)], "text string, secret_spans string, Secret_Spans_ int")
+    assert secrets.scan(frame).columns == ["text", "secret_spans", "Secret_Spans_", "secret_spans__"]
+    assert tuple(secrets.redact(frame).first()) == ("[REDACTED]", "mine", 3)
+
+
 def test_random_keys_of_each_alphabet_are_secrets(spark):
     r = np.random.default_rng(4)
     digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
