@@ -358,6 +358,36 @@ def test_licenses_several_in_a_sentence_and_over_lines():
     assert s.scan("Released under the MIT\n\nLicense") == []
 
 
+def test_licenses_planted_in_wrapped_comments():
+    """Every wording, wrapped at random under comment signs, is found where it stands; texts of the same words in other order aren't."""
+    r = np.random.default_rng(3)
+    s = licenses.Scanner()
+    for name, text in licenses.wordings():
+        for sign in ("# ", " * ", "// ", ""):
+            out, width = "", 0
+            for w in text.split():
+                if width and r.random() < 0.3:
+                    out, width = out + "\n" + sign, 0
+                out, width = out + (" " if width else "") + w, width + 1
+            before = "The licence of a driver is here.\n" + sign
+            found = [x for x in s.scan(before + out + "\n\nAnd more follows.")]
+            assert (name, len(before)) in [x[:2] for x in found], (name, out)
+            assert {x[0] for x in found} == {name}
+        strict = [w for w in licenses.words(text) if w not in licenses.FILLERS]
+        if len(strict) > 2 and strict != strict[::-1]:
+            assert not any(x[0] == name for x in s.scan(" ".join(strict[::-1]) + " license."))
+
+
+def test_licenses_named_in_one_sentence_and_spdx():
+    s = licenses.Scanner()
+    text = "released under the MIT License and licensed under the Apache License, Version 2.0."
+    assert [x[0] for x in s.scan(text)] == ["MIT", "Apache-2.0"]
+    assert [x[0] for x in s.scan("// SPDX-License-Identifier: MIT\nint main() {}")] == ["MIT"]
+    assert [x[0] for x in s.scan("SPDX-License-Identifier: GPL-2.0-or-later\n")] == ["GPL-2.0"]
+    assert s.scan("SPDX-License-Identifier: GPL-2.0-something\n") == []
+    assert s.scan("This work is licensed under the GNU General Public License, version 4.") == []
+
+
 def test_lm(docs, empty):
     assert lm_score.score_texts(empty).count() == 0
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
