@@ -6,11 +6,13 @@ there. A match of WINDOW words or more marks the last WINDOW words as hit and gi
 hold them; items of fewer words hit as a whole. Runs of words that no item has are skipped before.
 
 Items are read on the driver in blocks of at most BLOCK_CHARS characters (one longer item alone),
-each an automaton of bounded size that is broadcast; every block makes one more narrow pass.
+each an automaton of bounded size that is broadcast; every block makes one more narrow pass. After CHAINED
+passes a checkpoint ends the stage and their automata are freed, so a benchmark of any size holds few of them at once.
 
 Nulls and empty texts have no words and no hits. Items with a null id or without words are left
 out; rows that repeat an item_id count as one item. Every input row gives a row, repeated doc_ids
-too. An empty benchmark hits nothing. Other columns of documents are kept by decontaminate().
+too. An empty benchmark hits nothing. Other columns of documents are kept by decontaminate(), whatever their names; result columns of
+contamination() that have the name of a kept one get underscores after it.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverlake.llm.common import LOWER, NOT_ALNUM, buffers, need, packed, table, words_of
+from quiverlake.llm.common import LOWER, NOT_ALNUM, buffers, cut, free, need, packed, table, words_of
 
 WINDOW = 8
 BLOCK_CHARS = 1_000_000
+CHAINED = 2
 #: A document of which more than this share of words is hit goes as a whole.
 COVERAGE = 0.5
 #: So does one with windows of as many items.
@@ -204,15 +207,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], cleane
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    columns = list(dict.fromkeys([*keep, "text"]))
-    out = docs.select(*columns, F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    columns = [c for c in dict.fromkeys(keep) if c != "text"]
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None).cast("int")
+    out = docs.select(kept.alias("kept"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
+    alive = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         auto = Automaton([(r[0], w) for r, w in zip(rows, item_words(pa.array([r[1] for r in rows], pa.string())), strict=True) if w])
-        held = spark.sparkContext.broadcast((auto, *_vocabulary(auto)))
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-        out = out.mapInArrow(_pass(held, cleaned and k == blocks - 1), schema)
-    return out.select(*columns, "n_words", (F.coalesce(F.length("hits"), F.lit(0)) / 4).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        alive.append(spark.sparkContext.broadcast((auto, *_vocabulary(auto))))
+        out = out.mapInArrow(_pass(alive[-1], cleaned and k == blocks - 1), schema)
+        if len(alive) == CHAINED and k < blocks - 1:
+            out = cut(out)
+            while alive:
+                alive.pop().destroy()
+    names = result_names(columns)
+    n_hit = (F.coalesce(F.length("hits"), F.lit(0)) / 4).cast("long")
+    found = [F.col("n_words"), n_hit, F.coalesce("items", F.array().cast("array<string>"))]
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in columns], "text", *[c.alias(n) for c, n in zip(found, names, strict=True)])
+
+
+def result_names(columns: list[str]) -> list[str]:
+    """Names of n_words, n_hit and items beside kept columns."""
+    return [free(n, [*columns, "text"]) for n in ("n_words", "n_hit", "items")]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -221,9 +238,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A document with windows of ITEMS items or hit in more than COVERAGE of its words is dropped;
     from the others each span that is hit is cut out of the text.
     """
-    names = docs.columns
-    found = contamination(docs, benchmark, names, cleaned=True)
-    return found.where((F.size("items") < ITEMS) & (F.col("n_hit") <= COVERAGE * F.col("n_words"))).select(*names)
+    columns = docs.columns
+    n_words, n_hit, items = (F.col(n) for n in result_names([c for c in columns if c != "text"]))
+    found = contamination(docs, benchmark, columns, cleaned=True)
+    return found.where((F.size(items) < ITEMS) & (n_hit <= COVERAGE * n_words)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ the copies are shuffled globally by another hash.
 Sources without a weight, and null sources, keep every document once (rate 1). Rates over RATE_LIMIT
 are spread over whole copies and a Poisson rest, so exp() never vanishes. A null text has no characters;
 if all of a source's texts are empty its rate is 1. A null doc_id hashes as the empty text; repeated ids have the
-same count. Empty tables give none. Extra columns are kept; replicate() adds copy_no (and mix_key when asked).
+same count. Empty tables give none. Extra columns are kept; replicate()
+puts copy_no and mix_key last, with underscores after a name that docs has.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import need, table
+from quiverlake.llm.common import free, need, table
 
 #: src0 alone holds a third of some corpora: every source gets the same share.
 WEIGHTS = {f"src{i}": 0.05 for i in range(20)}
@@ -57,17 +58,21 @@ def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int =
     """docs with each row as often as its count says, copy_no from 1 and mix_key, the global shuffle's key."""
     need(docs, "doc_id", "text", "source")
     rate_table = rates(docs, weights) if rate_table is None else rate_table
-    r = F.coalesce(F.col("__rate"), F.lit(1.0))
+    names = docs.columns
+    rate, source, count, copy_no, mix_key = (free(n, names) for n in ("rate", "rate_source", "count", "copy_no", "mix_key"))
+    r = F.coalesce(F.col(rate), F.lit(1.0))
     whole = F.when(r > RATE_LIMIT, F.floor(r - RATE_LIMIT)).otherwise(F.lit(0)).cast("int")
-    count = F.when(F.col("__rate").isNull(), F.lit(1)).otherwise(whole + poisson_inverse(uniform(seed, "doc_id"), r - whole))
-    held = docs.join(F.broadcast(rate_table.withColumnsRenamed({"rate": "__rate", "source": "__source"})), F.col("source") == F.col("__source"), "left").withColumn("__count", count).where("__count > 0")
-    out = held.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count")))).drop("__rate", "__count", "__source")
-    return out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
+    number = F.when(F.col(rate).isNull(), F.lit(1)).otherwise(whole + poisson_inverse(uniform(seed, "doc_id"), r - whole))
+    told = rate_table.select(F.col("rate").alias(rate), F.col("source").alias(source))
+    held = docs.join(F.broadcast(told), F.col("source") == F.col(source), "left").withColumn(count, number).where(F.col(count) > 0)
+    out = held.withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(count)))).select(*names, copy_no)
+    return out.withColumn(mix_key, F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy_no).cast("string")).cast("binary")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """replicate(), shuffled globally: ordered by mix_key over all partitions."""
-    return replicate(docs, weights, seed).orderBy("mix_key")
+    """replicate(), shuffled globally: ordered by mix_key over all partitions; repeated rows have the same key and stand together."""
+    out = replicate(docs, weights, seed)
+    return out.orderBy(out.columns[-1])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

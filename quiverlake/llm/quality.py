@@ -10,7 +10,8 @@ a stream through one task whose memory is the weights. Everything else reads all
 
 A null or empty text has the bias alone as its score. Labels that are null or of no document are left out;
 a document that comes twice in labels is learned from twice. Without labels the score is 0.5. Each row gives a row;
-other columns are kept by filter_quality().
+other columns are kept by filter_quality(), whatever their names: scored() puts its column last, and where a kept one is called
+quality_score its name gets underscores.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverlake.llm.common import BLANKS, LOWER, NOT_ALNUM, buffers, crc_mod, mix, need, packed, table
+from quiverlake.llm.common import BLANKS, LOWER, NOT_ALNUM, buffers, crc_mod, free, mix, need, packed, table
 from quiverlake.llm.common import _words as split_words
 
 BITS = 18
@@ -43,7 +44,7 @@ CHUNK = 1 << 19
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For a run lo..hi of texts: document (from lo), feature and value, ordered by document."""
+    """For a run lo..hi of texts: document (from lo), feature and value, ordered by document; every text is in a run."""
     at, data = buffers(column)
     n, lo = len(at) - 1, 0
     while lo < n:
@@ -69,6 +70,8 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             value = 1 + np.log(count)
             norm = np.sqrt(np.bincount(doc, value * value, minlength=hi - lo))
             yield lo, hi, doc, (found & np.uint64((1 << BITS) - 1)).astype(np.int64), value / norm[doc]
+        else:
+            yield lo, hi, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         lo = hi
 
 
@@ -134,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> np.nda
     return np.frombuffer(got[0], "<f4").astype(float) if got else np.zeros((1 << BITS) + 1)
 
 
-def _scored(held):
+def _scored(held, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
         for batch in batches:
@@ -142,7 +145,7 @@ def _scored(held):
             for lo, hi, doc, f, v in features(batch.column("text")):
                 logit[lo:hi] += np.bincount(doc, v * w[f], minlength=hi - lo)
             score = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     return run
 
@@ -151,14 +154,15 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """keep, text and quality_score of each row."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
     chosen = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in chosen.schema), T.StructField("quality_score", T.DoubleType())])
-    return chosen.mapInArrow(_scored(held), schema)
+    name = free("quality_score", chosen.columns)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in chosen.schema), T.StructField(name, T.DoubleType())])
+    return chosen.mapInArrow(_scored(held, name), schema)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """The rows of docs, in its own columns, that score THRESHOLD or more; reference: documents to learn from."""
-    weights = train(docs if reference is None else reference, labels)
-    return scored(docs, weights, docs.columns).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    found = scored(docs, train(docs if reference is None else reference, labels), docs.columns)
+    return found.where(F.col(found.columns[-1]) >= THRESHOLD).select(*docs.columns)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ isotonic steps on a third, so that none is judged on what it was fitted to. At m
 rows are read, those first by a hash of doc_id; all documents are scored, whole.
 
 A null or empty text has all features zero and gets the score of such a text. Null labels and labels of no document
-are left out. Without labels of both kinds the fixed lexicon alone decides. Each row of documents gives a row; extra
+are left out. Without labels of both kinds the fixed lexicon alone decides; with too few to calibrate the trees' own probability does. Each row of documents gives a row; extra
 columns are ignored.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverlake.llm.common import BLANKS, LOWER, NOT_ALNUM, SAME, beginnings, buffers, crc_mod, eights, need, packed, table
+from quiverlake.llm.common import BLANKS, LOWER, NOT_ALNUM, SAME, beginnings, buffers, crc_mod, eights, free, need, packed, table
 from quiverlake.llm.quality import NOT_PUNCTUATION, sample
 from quiverlake.llm.common import _words as split_words
 
@@ -30,6 +30,8 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Learned lexicon: entries in at least SUPPORT toxic texts, of whose texts PURITY or more are toxic.
 LEXICON, SUPPORT, PURITY = 4000, 3, 0.85
+#: Rows of each label that the isotonic steps need; with fewer the trees' own probability stands.
+LEAST = 5
 PREFIXES = (4, 5, 6)
 NEAR = 5
 CHUNK = 1 << 19
@@ -241,6 +243,8 @@ class Model:
             return np.where(x[:, 1] + x[:, NAMES.index("disguised")] > 0, 0.9, 0.1)
         m = self.trees.margin(x)
         raw = 1 / (1 + np.exp(-m))
+        if self.knots is None:
+            return raw
         # a hundredth of the raw probability keeps the order within a step
         return 0.99 * np.interp(m, *self.knots) + 0.01 * raw
 
@@ -283,29 +287,32 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     x = np.stack([np.frombuffer(r["x"], "<f8") for r in got])
     part = np.array([r["part"] for r in got])
     fit, calibrate = part < 4, part == 4
-    if y[fit].min() == y[fit].max() or y[calibrate].sum() < 5:
-        fit = calibrate = np.ones(len(y), bool)
+    if y[fit].min() == y[fit].max():
+        return Model(lexicon, None, None)
     trees = Boosted().fit(x[fit], y[fit])
+    if y[calibrate].sum() < LEAST or (1 - y[calibrate]).sum() < LEAST:
+        return Model(lexicon, trees, None)
     return Model(lexicon, trees, isotonic(trees.margin(x[calibrate]), y[calibrate]))
 
 
-def _scored(held):
+def _scored(held, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = held.value.score(batch.column("text")) if batch.num_rows else np.zeros(0)
             names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score, pa.float64())], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score, pa.float64())], names=[*names, name])
 
     return run
 
 
 def toxicity(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep and toxicity, the calibrated probability."""
+    """The columns in keep and last toxicity, the calibrated probability; with underscores if a kept column has that name."""
     need(docs, "text", *keep)
     held = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*[c for c in keep if c != "text"], "text")
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in chosen.schema if f.name != "text"), T.StructField("toxicity", T.DoubleType())])
-    return chosen.mapInArrow(_scored(held), schema)
+    name = free("toxicity", chosen.columns)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in chosen.schema if f.name != "text"), T.StructField(name, T.DoubleType())])
+    return chosen.mapInArrow(_scored(held, name), schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -229,6 +229,39 @@ def test_mixing(docs, empty):
     assert got == sorted(got, key=lambda r: r["mix_key"]) and {"cls", "k", "copy_no", "mix_key"} <= set(got[0].asDict())
 
 
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns with the names that operators use themselves."""
+    names = ["kept", "items", "hits", "n_words", "n_hit", "quality_score", "toxicity", "copy_no", "mix_key", "rate", "count", "rate_source", "secret_spans", "y", "turn", "row", "id", "places", "label"]
+    kind = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, "src0", *[f"{n}{i}" for n in names]) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, kind).cache()
+
+
+def test_clashing_columns_stay(spark, clashing, labelled):
+    own = {tuple(r) for r in clashing.drop("text").collect()}
+    bench = spark.createDataFrame([(1, "nothing of it"), (2, "wörds äre fine")], "item_id long, text string")
+    out = decontaminate.decontaminate(clashing, bench)
+    assert out.columns == clashing.columns and {tuple(r) for r in out.drop("text").collect()} <= own
+    assert decontaminate.contamination(clashing, bench, clashing.columns).columns[-3:] == ["n_words_", "n_hit_", "items_"]
+    assert quality.filter_quality(clashing, labelled[1], labelled[0]).columns == clashing.columns
+    scored = quality.scored(clashing, quality.train(*labelled), clashing.columns)
+    assert scored.columns[-1] == "quality_score_" and scored.count() == len(TEXTS)
+    tox = toxicity.toxicity(clashing, toxicity.train(*labelled), clashing.columns)
+    assert tox.columns[-1] == "toxicity_" and {r["toxicity"] for r in tox.collect()} == {f"toxicity{i}" for i in range(len(TEXTS))}
+    mixed = mixing.mix_sources(clashing)
+    assert mixed.columns == [*clashing.columns, "copy_no_", "mix_key_"] and {r["copy_no"] for r in mixed.collect()} <= {f"copy_no{i}" for i in range(len(TEXTS))}
+    assert substring_dedup.dedup(clashing).count() == jaccard_join.jaccard_components(clashing).count() == licenses.scan(clashing).count() == len(TEXTS)
+
+
+def test_benchmarks_of_many_blocks(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(i, f"item {i} of the b c d e f g h {i}") for i in range(12)] + [(50, "c d e f g h i j k"), (51, "wörds")], "item_id long, text string")
+    want = {tuple(map(str, r)) for r in decontaminate.contamination(docs, bench, ["doc_id"]).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    got = decontaminate.contamination(docs, bench, ["doc_id"])
+    assert {tuple(map(str, r)) for r in got.collect()} == want and any("50" in w[-1] for w in want)
+
+
 def test_poisson(spark):
     for rate, u in ((0.3, 0.1), (1.0, 0.5), (4.5, 0.93), (19.0, 0.999), (2.0, 0.0)):
         k, p = 0, math.exp(-rate)
@@ -272,6 +305,45 @@ def test_toxicity(labelled):
     assert toxicity.toxicity(docs, toxicity.train(docs, labels.limit(0)), ["doc_id"]).where("toxicity > 0.5").count() > 0
 
 
+def test_labels_on_empty_tables_and_repeated_documents(spark, labelled, empty):
+    docs, labels = labelled
+    assert quality.scored(empty, quality.train(docs, labels), ["doc_id"]).count() == 0
+    assert toxicity.toxicity(empty, toxicity.train(docs, labels), ["doc_id"]).count() == 0
+    none = docs.limit(0)
+    assert quality.scored(docs, quality.train(none, labels), ["doc_id"]).where("quality_score = 0.5").count() == docs.count()
+    assert toxicity.toxicity(docs, toxicity.train(none, labels), ["doc_id"]).count() == docs.count()
+    twice = docs.unionAll(docs)
+    assert quality.scored(twice, quality.train(twice, labels), ["doc_id"]).count() == 2 * docs.count()
+    few = labels.where("doc_id < 40")
+    assert 0 <= toxicity.toxicity(docs, toxicity.train(twice, few), ["doc_id"]).agg(F.min("toxicity")).first()[0] <= 1
+
+
+def test_quality_equals_a_plain_loop(spark, labelled):
+    """Features, updates and scores of the classifier, one number at a time."""
+    docs, labels = labelled
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    weights = quality.train(docs, labels)
+    w = r"[a-z0-9\x80-\U0010ffff]+"
+    for i in (0, 7, 399, 900, 901):
+        text = rows[i] or ""
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        count = Counter()
+        hashed = lambda word, blanks=quality.NOT_ALNUM: int(next(quality.split_words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), 0, 0, 1, blanks, quality.SHAPE * 0 + np.arange(256, dtype=np.uint8)) for _ in "a").hash[0])
+        m64 = lambda x: int(quality.mix(np.array([x % 2**64], np.uint64))[0])
+        for salt, tokens, blanks in ((1, re.findall(w, lower), quality.NOT_ALNUM), (2, re.findall(r"[!-/:-@\[-`{-~]+", text), quality.NOT_PUNCTUATION)):
+            h = [hashed(t, blanks) for t in tokens]
+            count.update(m64(x + salt) >> (64 - quality.BITS) for x in h)
+            count.update(m64(a * 31 + b + salt + 8) >> (64 - quality.BITS) for a, b in zip(h, h[1:], strict=False))
+        for t in re.findall(r"[^\x20\x09-\x0D]+", text):
+            shape = "".join("A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "0" if "0" <= c <= "9" else c for c in t)
+            count[m64(hashed(shape, quality.BLANKS) + 3) >> (64 - quality.BITS)] += 1
+        value = {k: 1 + math.log(n) for k, n in count.items()}
+        norm = math.sqrt(sum(v * v for v in value.values())) or 1
+        logit = weights[-1] + sum(v / norm * weights[k] for k, v in value.items())
+        got = quality.scored(docs.where(F.col("doc_id") == i), weights, ["doc_id"]).first()["quality_score"]
+        assert got == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9)
+
+
 def test_isotonic():
     at, p = toxicity.isotonic(np.arange(6.0), np.array([0, 1, 0, 0, 1, 1.0]))
     assert (np.diff(p) >= 0).all() and (np.diff(at) > 0).all()
