@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import cut, shared_folder, table
+from quiverlake.llm.common import cut, free, shared_folder, table
 from quiverlake.llm.decontaminate import decontaminate
 from quiverlake.llm.jaccard_join import labelled
 from quiverlake.llm.mixing import mix_sources
@@ -32,10 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row = cut(labelled(docs).where("grp is not null").groupBy("grp", F.col("doc_id").alias("row_id"), "text_hash").agg(F.count("*").alias("copies")))
     first = row.groupBy("grp").agg(F.min(F.struct("row_id", "text_hash")).alias("first"))
     told = row.join(first, "grp").withColumn("kept", F.struct("row_id", "text_hash") == F.col("first"))
-    keyed = docs.withColumn("row_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
-    key = ["row_id", "text_hash"]
-    kept = keyed.join(told.where("not kept or copies > 1").select(*key), key, "left_anti").select(*docs.columns)
-    repeated = cut(told.where("kept and copies > 1").select(*key))
+    key = [free("row_id", docs.columns), free("text_hash", docs.columns)]
+    keyed = docs.withColumn(key[0], F.col("doc_id").cast("long")).withColumn(key[1], F.xxhash64("text"))
+    named = [F.col("row_id").alias(key[0]), F.col("text_hash").alias(key[1])]
+    kept = keyed.join(told.where("not kept or copies > 1").select(*named), key, "left_anti").select(*docs.columns)
+    repeated = cut(told.where("kept and copies > 1").select(*named))
     if not repeated.isEmpty():
         kept = kept.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))
     return kept
