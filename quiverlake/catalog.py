@@ -155,11 +155,35 @@ _add("filter_prefix_suffix", "SELECT p_partkey FROM part WHERE starts_with(p_nam
 
 # ---------------------------------------------------------------- full text and fusion
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one in local mode only."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    return tempfile.mkdtemp()
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> str:
+    """Stored postings of documents, written at the first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{_shared(spark)}/postings-{uuid.uuid4().hex}"
+        fts.write_index(_t(spark, sf_dir, "documents"), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 _BM25 = f"""t AS (SELECT doc_id, {_TOK} AS t FROM documents), b AS (SELECT doc_id, len(t) AS dl, unnest(['the', 'that', 'ing']) AS term, t FROM t),
 f AS (SELECT doc_id, dl, term, len(list_filter(t, lambda x: x = term)) AS tf FROM b), n AS (SELECT count(*)::DOUBLE AS n, sum(len(t))::DOUBLE / count(*) AS avgdl FROM t), d AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM f GROUP BY term),
 s AS (SELECT doc_id, count(*) AS hits, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM f JOIN d USING (term), n WHERE tf > 0 GROUP BY doc_id)"""
-_add("fts_or", f"WITH {_BM25} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10")(lambda s, d: fts.search(_t(s, d, "documents"), TEXT, 10, digits=6))
-_add("fts_and", f"WITH {_BM25} SELECT doc_id, score FROM s WHERE hits = 3 ORDER BY score DESC, doc_id LIMIT 10")(lambda s, d: fts.search(_t(s, d, "documents"), TEXT, 10, "and", digits=6))
+_add("fts_or", f"WITH {_BM25} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10")(lambda s, d: fts.search_index(s, text_index(s, d), TEXT, 10, digits=6))
+_add("fts_and", f"WITH {_BM25} SELECT doc_id, score FROM s WHERE hits = 3 ORDER BY score DESC, doc_id LIMIT 10")(lambda s, d: fts.search_index(s, text_index(s, d), TEXT, 10, "and", digits=6))
+_add("fts_scan_or", _SQL["fts_or"])(lambda s, d: fts.search(_t(s, d, "documents"), TEXT, 10, digits=6))
+_add("fts_scan_and", _SQL["fts_and"])(lambda s, d: fts.search(_t(s, d, "documents"), TEXT, 10, "and", digits=6))
 _add("fts_stats", f"SELECT count(*) AS total_docs, sum(len({_TOK}))::BIGINT AS total_tokens FROM documents")(lambda s, d: fts.stats(_t(s, d, "documents")))
 _add("fts_tokenize", f"SELECT doc_id, len({_TOK})::INT AS n, md5(array_to_string({_TOK}, ' ')) AS digest FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", tokens("text").alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.concat_ws(" ", "t").cast("binary")).alias("digest")))
 _add("fts_postings", f"WITH p AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents) SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL")(lambda s, d: fts.postings(_t(s, d, "documents")).select("doc_id", "term", "tf"))
@@ -170,7 +194,7 @@ _add("rrf_two_metrics", f"WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY
 _add("weighted_fusion", f"WITH a AS (SELECT vec_id, {_SCORE['l2']} AS s FROM embeddings ORDER BY s, vec_id LIMIT 20), b AS (SELECT vec_id, round(pow(list_distance({_E}, (SELECT {_E} FROM embeddings WHERE vec_id = 7)), 2), 6) AS s FROM embeddings ORDER BY s, vec_id LIMIT 20) SELECT vec_id, round(sum(w * (1 - 2 * atan(s) / 3.141592653589793::DOUBLE)), 9) AS score FROM (SELECT *, 0.7::DOUBLE AS w FROM a UNION ALL SELECT *, 0.3::DOUBLE AS w FROM b) GROUP BY vec_id ORDER BY score DESC, vec_id LIMIT 10")(
     lambda s, d: fusion.weighted([(knn.knn(_t(s, d, "embeddings"), QUERY, 20, "l2", digits=6), 0.7), (knn.knn_by_id(_t(s, d, "embeddings"), 7, 20, "l2", digits=6), 0.3)], "l2", 10, id_col="vec_id", digits=9))
 _add("hybrid_vec_text", f"WITH {_BM25}, va AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_SCORE['l2']}, vec_id) - 1 AS r FROM embeddings QUALIFY r < 20), tb AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM s QUALIFY r < 20) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r + 1)), 9) AS score FROM (SELECT * FROM va UNION ALL SELECT * FROM tb) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")(
-    lambda s, d: fusion.rrf([(knn.knn(_t(s, d, "embeddings"), QUERY, 20, "l2", digits=6).withColumnRenamed("vec_id", "doc_id"), False), (fts.search(_t(s, d, "documents"), TEXT, 20, digits=6), True)], 10, digits=9))
+    lambda s, d: fusion.rrf([(knn.knn(_t(s, d, "embeddings"), QUERY, 20, "l2", digits=6).withColumnRenamed("vec_id", "doc_id"), False), (fts.search_index(s, text_index(s, d), TEXT, 20, digits=6), True)], 10, digits=9))
 
 # ---------------------------------------------------------------- scans and changes
 
@@ -200,8 +224,7 @@ _add("compaction_live_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE
 
 @_add("stream_upsert", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiverlake.plans.exprs import NUMERIC, compile_expression
-from quiverlake.plans.filters import compile_filter
+from quiverlake.plans.filters import scalar
 
 
 def latest(df: DataFrame, key: str, *version: str) -> DataFrame:
@@ -48,7 +48,7 @@ def delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def delete_by_filter(base: DataFrame, where: str) -> DataFrame:
     """Rows for which the filter isn't true, nulls included, stay."""
-    return base.where(~F.coalesce(compile_filter(where, base.schema).predicate, F.lit(False)))
+    return base.where(~F.coalesce(scalar(where, base.schema), F.lit(False)))
 
 
 def fetch(base: DataFrame, keys: list, key: str) -> DataFrame:
@@ -87,7 +87,7 @@ def compact(parts: DataFrame, deleted: DataFrame, key: str, rows_per_file: int,
 
 def scan(base: DataFrame, fields: list[str] | None = None, where: str | None = None, limit: int = 20, order: str | None = None, descending: bool = False, key: str = "pk") -> DataFrame:
     """Projection, filter and limit; the order is stated, else by key, so that a limit always means the same rows."""
-    found = base.where(compile_filter(where, base.schema).predicate)
+    found = base.where(scalar(where, base.schema))
     first = [F.desc(order) if descending else F.asc(order)] if order else []
     found = found.orderBy(*first, key).limit(limit)
     return found if fields is None or fields == ["*"] else found.select(*fields)

@@ -1,14 +1,20 @@
-"""Full-text search by BM25: postings, corpus statistics, OR and AND matching."""
+"""Full-text search by BM25: postings, corpus statistics, OR and AND matching.
+
+search() tokenises the whole table; write_index() stores postings and search_index() reads only those of
+the query's terms.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.functions.text import tokens
+from quiverlake.functions.text import LONGEST, tokens, uncut_tokens
 
 K1, B = 1.2, 0.75
 MAX_TOPK = 1024
+#: A term's postings are in one of BUCKETS folders, dealt over SALTS writers, so that no term is one task's work.
+BUCKETS, SALTS = 16, 4
 
 
 def query_terms(df: DataFrame, text: str) -> list[str]:
@@ -19,7 +25,7 @@ def query_terms(df: DataFrame, text: str) -> list[str]:
 
 def lengths(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Number of tokens of each row; 0 for null and empty texts, which count in the statistics."""
-    return df.select(id_col, F.size(tokens(text)).alias("doc_len"))
+    return df.select(id_col, F.size(uncut_tokens(text)).alias("doc_len"))
 
 
 def postings(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -33,36 +39,72 @@ def _equals(term: str):
 
 
 def stats(df: DataFrame, text: str = "text") -> DataFrame:
-    n = F.size(tokens(text))
+    n = F.size(uncut_tokens(text))
     return df.agg(F.count("*").alias("total_docs"), F.coalesce(F.sum(n), F.lit(0)).alias("total_tokens"))
 
 
-def search(df: DataFrame, query: str, topk: int = 10, match: str = "or", *, text: str = "text", id_col: str = "doc_id", digits: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """id, score of the topk rows with any (or all) query terms.
-
-    Only the query's terms are counted: one pass tokenises, keeps lengths and the few counts that matter,
-    and its global sums join back as one row.
-    """
+def _terms(df: DataFrame, query: str, topk: int, match: str) -> list[str]:
     if not query or not 0 < topk <= MAX_TOPK:
         raise ValueError(f"a query text and a topk of 1 to {MAX_TOPK} are needed")
     if match not in ("or", "and"):
         raise ValueError("match is 'or' or 'and'")
-    terms = query_terms(df, query)
-    if not terms:
-        return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    t = tokens(text)
-    base = df.select(id_col, t.alias("__t")).select(id_col, F.size("__t").alias("dl"), *[F.size(F.filter("__t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
-    whole = base.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
+    return query_terms(df, query)
+
+
+def _ranked(base: DataFrame, whole: DataFrame, terms: int, topk: int, match: str, id_col: str, digits: int | None, k1: float, b: float) -> DataFrame:
+    """base: id, dl, tf0, tf1 ...; whole, one row: n, total, df0, df1 ..."""
     avg = F.col("total") / F.col("n")
     norm = F.when(avg > 0, 1 - b + b * F.col("dl") / avg).otherwise(F.lit(1.0))
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         tf, d = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(F.greatest(F.col("n") - d + 0.5, F.lit(0.0)) / (d + 0.5) + 1)
         score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * norm)).otherwise(F.lit(0.0))
-    has = [(F.col(f"tf{i}") > 0) for i in range(len(terms))]
-    wanted = has[0]
-    for h in has[1:]:
-        wanted = (wanted | h) if match == "or" else (wanted & h)
-    found = base.where(wanted).crossJoin(F.broadcast(whole))  # one row
+    wanted = F.col("tf0") > 0
+    for i in range(1, terms):
+        wanted = wanted | (F.col(f"tf{i}") > 0) if match == "or" else wanted & (F.col(f"tf{i}") > 0)
+    # the test names a column of whole, or it would be pushed to the scan and tokenise the text for each term again
+    found = base.crossJoin(F.broadcast(whole)).where(F.when(F.col("n") > 0, wanted))
     return found.select(id_col, (F.round(score, digits) if digits is not None else score).alias("score")).orderBy(F.desc("score"), id_col).limit(topk)
+
+
+def search(df: DataFrame, query: str, topk: int = 10, match: str = "or", *, text: str = "text", id_col: str = "doc_id", digits: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """id, score of the topk rows with any (or all) query terms, without an index.
+
+    Only the query's terms are counted; the global sums join back as one row.
+    """
+    terms = _terms(df, query, topk, match)
+    if not terms:
+        return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    # a cut token has over LONGEST - 4 bytes, so shorter terms are found among uncut ones
+    cut = any(len(w.encode()) > LONGEST - 4 for w in terms)
+    base = df.select(id_col, (tokens(text) if cut else uncut_tokens(text)).alias("__t")).select(id_col, F.size("__t").alias("dl"), *[F.size(F.filter("__t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    whole = base.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    return _ranked(base, whole, len(terms), topk, match, id_col, digits, k1, b)
+
+
+def _bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(df: DataFrame, path: str, *, text: str = "text", id_col: str = "doc_id") -> None:
+    """Writes postings by bucket of term, sorted by term, and one row of statistics. Ids are unique."""
+    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS))
+    rows = postings(df, text, id_col).withColumn("bucket", _bucket("term"))
+    rows.repartition(BUCKETS * SALTS, "bucket", salt).sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(f"{path}/postings")
+    total = df.sparkSession.read.schema("tf long").parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    df.agg(F.count("*").alias("n")).crossJoin(total).coalesce(1).write.parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, query: str, topk: int = 10, match: str = "or", *, id_col: str = "doc_id", digits: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """What search() gives, from a written index: only the postings of the query's terms are read."""
+    stats_row = spark.read.schema("n long, total long").parquet(f"{path}/stats")
+    terms = _terms(stats_row, query, topk, match)
+    held = spark.read.parquet(f"{path}/postings")
+    if not terms:
+        return held.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    buckets = stats_row.sparkSession.range(1).select(F.array(*[_bucket(F.lit(w)) for w in terms])).first()[0]
+    rows = held.where(F.col("bucket").isin(sorted(set(buckets))) & F.col("term").isin(terms))
+    base = rows.groupBy(id_col).agg(F.max("doc_len").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)])
+    whole = rows.agg(*[F.count_if(F.col("term") == w).alias(f"df{i}") for i, w in enumerate(terms)]).crossJoin(stats_row)
+    return _ranked(base, whole, len(terms), topk, match, id_col, digits, k1, b)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quiverlake.functions import distance, quantize
-from quiverlake.plans.filters import compile_filter
+from quiverlake.plans.filters import scalar
 
 MAX_TOPK = 1024
 #: Queries that a batch search broadcasts at a time.
@@ -35,7 +35,7 @@ def scored(df: DataFrame, query: Sequence[float] | Column, metric: str, vector:
     """Rows that pass the filter, with score; digits rounds it."""
     q = query if isinstance(query, Column) else distance.literal(query)
     s = distance.score(metric, F.col(vector), q)
-    found = df.where(compile_filter(where, df.schema).predicate & F.col(vector).isNotNull())
+    found = df.where(scalar(where, df.schema) & F.col(vector).isNotNull())
     return found.withColumn("score", F.round(s, digits) if digits is not None else s)
 
 

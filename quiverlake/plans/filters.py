@@ -264,5 +264,13 @@ def compile_filter(text: str | None, schema: T.StructType, compat: bool = False)
     return Compiled(predicate, vectors[0] if vectors else None)
 
 
+def scalar(text: str | None, schema: T.StructType, compat: bool = False) -> Column:
+    """The predicate of a filter without a vector relation; with one, only a search can answer it."""
+    compiled = compile_filter(text, schema, compat)
+    if compiled.vector:
+        raise FilterError(f"a vector relation on {compiled.vector[0]} needs a search")
+    return compiled.predicate
+
+
 def where(df, text: str | None, compat: bool = False):
-    return df.where(compile_filter(text, df.schema, compat).predicate)
+    return df.where(scalar(text, df.schema, compat))

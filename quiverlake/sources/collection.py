@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiverlake.operators import dml, fts, fusion, ivf, knn
+from quiverlake.plans.filters import compile_filter
 from quiverlake.sources.schema import KEY_PATTERN, UNSIGNED, CollectionSchema, Field, Index, SchemaError
 
 _METRIC = {"L2": "l2", "IP": "ip", "COSINE": "cosine", "MIPSL2": "mipsl2"}
@@ -32,7 +34,7 @@ class Collection:
     @staticmethod
     def create(spark: SparkSession, path: str, schema: CollectionSchema) -> Collection:
         schema.validate()
-        out = Collection(spark, path, {"version": 0, "schema": schema.to_json(), "parts": [], "ivf": {}})
+        out = Collection(spark, path, {"version": 0, "schema": schema.to_json(), "parts": [], "ivf": {}, "fts": {}})
         if out._exists(f"{out.path}/manifest"):
             raise FileExistsError(path)
         out._publish(out.state)
@@ -69,7 +71,22 @@ class Collection:
         return self.spark.read.parquet(*[f"{self.path}/{p}" for p in self.state["parts"]])
 
     def stats(self) -> dict:
-        return {"doc_count": self.df().count(), "index_completeness": {f.name: 1.0 for f in self.schema.fields if f.index}}
+        """index_completeness: 1 for an index that covers the live rows, 0 for one not built, or built before the last change."""
+        return {"doc_count": self.df().count(), "index_completeness": {f.name: float(self._covered(f)) for f in self.schema.fields if f.index}}
+
+    def _covered(self, f: Field) -> bool:
+        if f.index.kind in ("IVF", "FTS"):
+            return self._built(f.index.kind, f.name) is not None
+        return f.index.kind in ("FLAT", "INVERT")  # these search the rows themselves
+
+    def _built(self, kind: str, name: str) -> dict | None:
+        """A written index, if it is of the live rows."""
+        index = self.state.get(kind.lower(), {}).get(name)
+        return index if index and index.get("parts") == self.state["parts"] else None
+
+    def _metric(self, name: str) -> str:
+        f = self.schema.field(name)
+        return _METRIC[f.index.metric if f.index else "IP"]
 
     def fetch(self, keys: list[str]) -> DataFrame:
         return dml.fetch(self.df(), keys, self.schema.key)
@@ -81,27 +98,41 @@ class Collection:
         return [self.schema.key, *names]
 
     def query(self, vector: tuple[str, list[float]] | None = None, *, id: str | None = None, where: str | None = None, topk: int = 10, output_fields: list[str] | None = None, include_vector: bool = False, radius: float | None = None, nprobe: int | None = None, order: str | None = None) -> DataFrame:
-        """k-NN by (field, vector) or by a stored row's vector, or a filtered scan without one. nprobe uses a built IVF index."""
+        """k-NN by (field, vector) or by a stored row's vector, or a filtered scan without one.
+
+        A vector relation in the filter is such a (field, vector). nprobe uses an IVF index of the live rows; without
+        one the search is exact, with a warning.
+        """
         names = self._fields(output_fields, include_vector)
+        rows, compiled = self.df(), compile_filter(where, self.schema.struct())
+        if compiled.vector:
+            if vector is not None or id is not None:
+                raise SchemaError("one vector, in the call or in the filter")
+            if not self.schema.field(compiled.vector[0]).is_vector:
+                raise SchemaError(f"{compiled.vector[0]} is no vector")
+            vector = (compiled.vector[0], list(compiled.vector[1]))
         if vector is None:
-            return dml.scan(self.df(), names, where, topk, order, key=self.schema.key)
+            return dml.scan(rows, names, where, topk, order, key=self.schema.key)
         f = self.schema.field(vector[0])
-        metric = _METRIC[f.index.metric if f.index else "IP"]
-        more = {"id_col": self.schema.key, "vector": f.name, "where": where, "radius": radius}
+        metric = self._metric(f.name)
+        more = {"id_col": self.schema.key, "vector": f.name, "radius": radius}
         if f.kind.startswith("SPARSE"):
             raise SchemaError("sparse fields are searched by query_sparse")
         if id is not None:
-            found = knn.knn_by_id(self.df(), id, topk, metric, **more)
+            found = knn.knn_by_id(rows, id, topk, metric, where=where, **more)
         else:
             if len(vector[1]) != f.dimension:
                 raise SchemaError(f"{f.name} has {f.dimension} dimensions")
-            index = self.state["ivf"].get(f.name)
-            if nprobe and index and index["version"] == self.state["version"]:
+            index = self._built("IVF", f.name) if nprobe else None
+            if index:
                 import numpy as np
 
-                found = ivf.search(ivf.open_index(self.spark, f"{self.path}/{index['path']}"), np.array(index["centroids"]), vector[1], topk, metric, nprobe=nprobe, **more)
+                cells = ivf.open_index(self.spark, f"{self.path}/{index['path']}").where(compiled.predicate)
+                found = ivf.search(cells, np.array(index["centroids"]), vector[1], topk, metric, nprobe=nprobe, **more)
             else:
-                found = knn.knn(self.df(), vector[1], topk, metric, **more)
+                if nprobe:
+                    warnings.warn(f"{f.name} has no index of the live rows; optimize() builds it", stacklevel=2)
+                found = knn.knn(rows.where(compiled.predicate), vector[1], topk, metric, **more)
         return found.select(*names, "score")
 
     def query_sparse(self, name: str, query: dict[int, float], topk: int = 10) -> DataFrame:
@@ -114,7 +145,11 @@ class Collection:
         if f.kind != "STRING" or f.index is None or f.index.kind != "FTS":
             raise SchemaError(f"{name} has no full-text index")
         params = dict(f.index.params)
-        found = fts.search(self.df(), text, topk, match, text=name, id_col=self.schema.key, k1=float(params.get("k1", fts.K1)), b=float(params.get("b", fts.B)))
+        more = {"id_col": self.schema.key, "k1": float(params.get("k1", fts.K1)), "b": float(params.get("b", fts.B))}
+        if index := self._built("FTS", name):
+            found = fts.search_index(self.spark, f"{self.path}/{index['path']}", text, topk, match, **more)
+        else:
+            found = fts.search(self.df(), text, topk, match, text=name, **more)
         if output_fields == []:
             return found
         return found.join(self.df().select(*self._fields(output_fields, output_fields is None)), self.schema.key).orderBy(F.desc("score"), self.schema.key)
@@ -124,7 +159,7 @@ class Collection:
         if len({v[0] for v in vectors}) < len(vectors):
             raise SchemaError("vector fields repeat")
         key = self.schema.key
-        metrics = [_METRIC[self.schema.field(n).index.metric] for n, _ in vectors]
+        metrics = [self._metric(n) for n, _ in vectors]
         lists = [self.query((n, v), where=where, topk=topk, output_fields=[]).select(key, "score") for n, v in vectors]
         if weights is not None:
             if text or len(set(metrics)) > 1:
@@ -165,26 +200,30 @@ class Collection:
             raise SchemaError(first[0])
         return df.select(*columns, F.col("__order") if "__order" in df.columns else F.monotonically_increasing_id().alias("__order"))
 
+    def _staged(self, df: DataFrame, partial: bool = False) -> DataFrame:
+        """Checked rows, written once, so that status and rows go by one order also when tasks run again."""
+        return self._kept(self._checked(df, partial), "staged")
+
     def insert(self, df: DataFrame) -> DataFrame:
         """New keys are added; the status of each row is OK or ALREADY_EXISTS."""
-        new = self._checked(df)
+        new = self._staged(df)
         rows, status = dml.insert(self.df(), new, self.schema.key, "__order")
         out = self._kept(status.select(self.schema.key, "status"))
         self._replace(rows)
         return out
 
-    def _kept(self, status: DataFrame) -> DataFrame:
+    def _kept(self, status: DataFrame, folder: str = "status") -> DataFrame:
         """A status is judged on the version before the change, so it is written before."""
-        path = f"{self.path}/status/{uuid.uuid4().hex}"
+        path = f"{self.path}/{folder}/{uuid.uuid4().hex}"
         status.write.parquet(path)
         return self.spark.read.parquet(path)
 
     def upsert(self, df: DataFrame) -> None:
-        self._replace(dml.upsert(self.df(), self._checked(df), self.schema.key, "__order"))
+        self._replace(dml.upsert(self.df(), self._staged(df), self.schema.key, "__order"))
 
     def update(self, df: DataFrame) -> DataFrame:
         """Fields that df has replace those of the row, nulls too; the status is OK or NOT_FOUND."""
-        new = self._checked(df, partial=True)
+        new = self._staged(df, partial=True)
         new = dml.latest(new, self.schema.key, "__order").drop("__order")
         rows, status = dml.update(self.df(), new, self.schema.key)
         out = self._kept(status)
@@ -220,29 +259,46 @@ class Collection:
         self._replace(dml.drop_column(self.df(), name), self._with_fields([f for f in self.schema.fields if f.name != name]))
 
     def create_index(self, name: str, index: Index) -> None:
-        """Sets the descriptor; IVF also writes vectors by cell. The same index again changes nothing."""
+        """Sets the descriptor and, for IVF and FTS, writes the index. The same index again changes nothing."""
         old = self.schema.field(name)
         if old.index == index:
             return
         schema = self._with_fields([replace(f, index=index) if f.name == name else f for f in self.schema.fields])
-        state = self.state | {"version": self.state["version"] + 1, "schema": schema.to_json()}
-        if index.kind == "IVF":
-            params = dict(index.params)
-            centroids = ivf.train(self.df(), int(params.get("n_list", 64)), int(params.get("n_iters", 10)), id_col=self.schema.key, vector=name)
-            path = f"index/{uuid.uuid4().hex}"
-            ivf.write_index(self.df(), centroids, f"{self.path}/{path}", vector=name)
-            state["ivf"] = self.state["ivf"] | {name: {"path": path, "centroids": centroids.tolist(), "version": state["version"]}}
-        self._publish(state)
+        state = self._unindexed(name) | {"version": self.state["version"] + 1, "schema": schema.to_json()}
+        self._publish(state | self._written(state, name, index))
+
+    def _unindexed(self, name: str) -> dict:
+        return self.state | {kind: {k: v for k, v in self.state.get(kind, {}).items() if k != name} for kind in ("ivf", "fts")}
+
+    def _written(self, state: dict, name: str, index: Index) -> dict:
+        """Writes an index of the live rows; what the state then says of it."""
+        path = f"index/{uuid.uuid4().hex}"
+        held = {"path": path, "parts": self.state["parts"]}
+        if index.kind == "FTS":
+            fts.write_index(self.df(), f"{self.path}/{path}", text=name, id_col=self.schema.key)
+            return {"fts": state["fts"] | {name: held}}
+        if index.kind != "IVF":
+            return {}
+        params = dict(index.params)
+        centroids = ivf.train(self.df(), int(params.get("n_list", 64)), int(params.get("n_iters", 10)), id_col=self.schema.key, vector=name)
+        ivf.write_index(self.df(), centroids, f"{self.path}/{path}", vector=name)
+        return {"ivf": state["ivf"] | {name: held | {"centroids": centroids.tolist()}}}
 
     def drop_index(self, name: str) -> None:
         schema = self._with_fields([replace(f, index=None) if f.name == name else f for f in self.schema.fields])
-        self._publish(self.state | {"version": self.state["version"] + 1, "schema": schema.to_json(), "ivf": {k: v for k, v in self.state["ivf"].items() if k != name}})
+        self._publish(self._unindexed(name) | {"version": self.state["version"] + 1, "schema": schema.to_json()})
 
     def optimize(self) -> None:
-        """Rewrites the rows in key ranges of at most max_docs_per_segment."""
+        """Rewrites the rows in key ranges of at most max_docs_per_segment and the indexes of them."""
         rows = self.df()
         files = max(1, -(-rows.count() // self.schema.max_docs_per_segment))
         self._replace(rows.repartitionByRange(files, self.schema.key))
+        state = {"ivf": {}, "fts": {}} | self.state
+        for f in self.schema.fields:
+            if f.index:
+                state = state | self._written(state, f.name, f.index)
+        if state != self.state:
+            self._publish(state | {"version": self.state["version"] + 1})
 
     def flush(self) -> None:
         """Changes are durable once they return."""

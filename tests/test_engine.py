@@ -69,6 +69,8 @@ def test_bad_filters(rows, text):
 def test_filter_compat_and_vector(rows):
     assert where(rows, "id != 1 or id != 2", compat=True).count() == 998
     assert compile_filter("age = 1 and dense = [1, 2.5]", rows.schema).vector == ("dense", (1.0, 2.5))
+    with pytest.raises(FilterError):
+        where(rows, "dense = [1.0, 2.5]")
 
 
 def test_expressions(spark):
@@ -132,12 +134,22 @@ def _bm25(texts, query, match):
 
 
 @pytest.mark.parametrize("match", ["or", "and"])
-def test_bm25(spark, match):
+def test_bm25(spark, tmp_path, match):
     texts = [(0, "the quick brown fox"), (1, "fox fox den"), (2, "lazy dog"), (3, None), (4, "quick quick silver the the")]
     df = spark.createDataFrame(texts, "doc_id int, text string")
     got = {r[0]: r[1] for r in fts.search(df, "quick fox", 10, match).collect()}
     want = _bm25(texts, "quick fox", match)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    fts.write_index(df, str(tmp_path / "index"))
+    stored = {r[0]: r[1] for r in fts.search_index(spark, str(tmp_path / "index"), "quick fox", 10, match).collect()}
+    assert stored == got
+    assert fts.search_index(spark, str(tmp_path / "index"), "nowhere", 10, match).count() == 0
+
+
+def test_long_terms(spark):
+    long = "a" * 200
+    df = spark.createDataFrame([(0, long), (1, "a" * 128), (2, "a" * 127)], "doc_id int, text string")
+    assert {r[0] for r in fts.search(df, long, 10).collect()} == {0, 1}
 
 
 def test_tokens(spark):
@@ -171,6 +183,15 @@ def test_collection(spark, tmp_path):
     c = Collection.create(spark, str(tmp_path / "c"), CollectionSchema("books", fields))
     df = spark.createDataFrame([(f"k{i}", f"word{i} common", i, [float(i)] * 4) for i in range(30)], "pk string, title string, price int, dense array<float>")
     assert {r["status"] for r in c.insert(df).collect()} == {"OK"}
+    # two rows of one key: the first is kept, and the status says the same
+    twice = spark.createDataFrame([("k90", "first", 90, [90.0] * 4), ("k90", "second", 91, [91.0] * 4)], df.schema).coalesce(1)
+    assert sorted(r["status"] for r in c.insert(twice).collect()) == ["ALREADY_EXISTS", "OK"]
+    assert c.fetch(["k90"]).first()["title"] == "first"
+    c.delete(["k90"])
+    assert [r["pk"] for r in c.query(where="dense = [5.0, 5.0, 5.0, 5.0] and price > 2", topk=2).collect()] == ["k5", "k4"]
+    with pytest.raises(FilterError):
+        c.delete_by_filter("dense = [5.0, 5.0, 5.0, 5.0]")
+    assert c.stats()["index_completeness"] == {"title": 0.0, "dense": 1.0}
     assert [r["pk"] for r in c.query(("dense", [3.0] * 4), topk=3, where="price > 2").collect()] == ["k3", "k4", "k5"]
     assert [r["pk"] for r in c.query_text("title", "word7", topk=5).collect()] == ["k7"]
     assert c.query_hybrid([("dense", [3.0] * 4)], ("title", "word3"), topk=5).first()["pk"] == "k3"
@@ -182,8 +203,20 @@ def test_collection(spark, tmp_path):
     again = Collection.open(spark, str(tmp_path / "c"))
     assert again.stats()["doc_count"] == 27
     assert [tuple(r) for r in again.fetch(["k3", "k4"]).select("pk", "twice").collect()] == [("k3", 200)]
+    assert again.stats()["index_completeness"] == {"title": 1.0, "dense": 1.0}
+    assert [r["pk"] for r in again.query_text("title", "word7", topk=5).collect()] == ["k7"]
+    assert again.query_text("title", "word4", topk=5).count() == 0
+    again.drop_index("dense")
+    assert again.query_hybrid([("dense", [3.0] * 4)], ("title", "word3"), topk=5).count() == 5
     again.create_index("dense", Index("IVF", "L2", params=(("n_list", 4),)))
     assert again.query(("dense", [9.0] * 4), topk=1, nprobe=2).first()["pk"] == "k9"
+    again.delete(["k9"])
+    assert again.stats()["index_completeness"] == {"title": 0.0, "dense": 0.0}
+    with pytest.warns(UserWarning):
+        assert again.query(("dense", [9.0] * 4), topk=1, nprobe=2).first()["pk"] in ("k8", "k10")
+    again.optimize()
+    assert again.stats()["index_completeness"] == {"title": 1.0, "dense": 1.0}
+    assert again.query(("dense", [9.0] * 4), topk=1, nprobe=2).first()["pk"] in ("k8", "k10")
     with pytest.raises(SchemaError):
         again.insert(df.withColumn("other", F.lit(1)))
     with pytest.raises(SchemaError):
