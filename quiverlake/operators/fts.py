@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.functions.text import LONGEST, tokens, uncut_tokens
+from quiverlake.functions.text import LONGEST, cut, tokens, uncut_tokens
 
 K1, B = 1.2, 0.75
 MAX_TOPK = 1024
@@ -30,8 +30,9 @@ def lengths(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
 def postings(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, term, tf, doc_len: a table that can be written and partitioned by a hash of term."""
-    held = df.select(id_col, tokens(text).alias("__t"))
-    return held.select(id_col, F.size("__t").alias("doc_len"), F.explode("__t").alias("term")).groupBy(id_col, "term", "doc_len").agg(F.count("*").alias("tf"))
+    held = df.select(id_col, uncut_tokens(text).alias("__t"))
+    rows = held.select(id_col, F.size("__t").alias("doc_len"), F.explode("__t").alias("term")).withColumn("term", cut(F.col("term")))
+    return rows.groupBy(id_col, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def _equals(term: str):
@@ -103,8 +104,8 @@ def search_index(spark: SparkSession, path: str, query: str, topk: int = 10, mat
     held = spark.read.parquet(f"{path}/postings")
     if not terms:
         return held.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    buckets = stats_row.sparkSession.range(1).select(F.array(*[_bucket(F.lit(w)) for w in terms])).first()[0]
-    rows = held.where(F.col("bucket").isin(sorted(set(buckets))) & F.col("term").isin(terms))
+    # constants of the plan, so they prune folders
+    rows = held.where(F.col("bucket").isin([_bucket(F.lit(w)) for w in terms]) & F.col("term").isin(terms))
     base = rows.groupBy(id_col).agg(F.max("doc_len").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)])
     whole = rows.agg(*[F.count_if(F.col("term") == w).alias(f"df{i}") for i, w in enumerate(terms)]).crossJoin(stats_row)
     return _ranked(base, whole, len(terms), topk, match, id_col, digits, k1, b)
