@@ -14,8 +14,9 @@ is 0.75 or more; a component is what links reach. The steps, each exact or an up
    copies that don't link, as after several turns of edits, still come together.
 5. Token-group matrix: each family's union of shingles. The overlap of a class with another
    family's union bounds its overlap with any member. The matrix is joined on the rarest
-   shingles that could still allow a link, overlaps with those unions are counted, and only
-   families that reach three quarters are opened, besides a class's own.
+   shingles that could still allow a link, from the smaller family to the larger only; overlaps
+   with those unions are counted, and only families that reach three quarters are opened, besides
+   a class's own.
 6. Opening: members of a family go to tasks as pairs of blocks; overlaps of two blocks are one
    product of 0-1 matrices, and a task sends back a spanning forest of the groups that link there.
 7. Components of groups over these links, by label propagation with pointer jumping.
@@ -310,18 +311,23 @@ def _links(member: DataFrame) -> DataFrame:
 
 
 def _opened(member: DataFrame) -> DataFrame:
-    """cls, other: families besides its own whose union of shingles has enough of a class's."""
-    spark = member.sparkSession
+    """cls, other: families larger than its own whose union of shingles has enough of a class's.
+
+    A link between two families shows from either of them, so only classes of the smaller one (of
+    the lower id, among equals) ask: a large family's classes aren't held against each small one.
+    """
     token = member.select("cls", "family", "n", F.explode("vals").alias("v"))
     held = token.select("v", "family").distinct().groupBy("v").agg(F.count("*").alias("families")).where("families > 1")
     ranked = token.join(held, "v").groupBy("cls", "family", "n").agg(F.array_sort(F.collect_list(F.struct("families", "v"))).alias("ranked"))
     # a link needs `least` of the n values, so in any fixed order both sides have one of their first
     # n - least + 1 in common; values of one family come first and can't be it, so they only take places
     places = F.size("ranked") - F.expr(f"int(({SHARE[0]} * n + {SHARE[1] - 1}) div {SHARE[1]})") + 1
-    first = cut(ranked.where(places > 0).select("cls", "family", F.explode(F.slice("ranked", F.lit(1), places)).alias("x")).select("cls", "family", F.col("x.v").alias("v")))
+    first = ranked.where(places > 0).select("cls", "family", F.explode(F.slice("ranked", F.lit(1), places)).alias("x")).select("cls", "family", F.col("x.v").alias("v"))
+    sizes = member.groupBy("family").agg(F.count("*").alias("members"))
+    first = cut(first.join(sizes, "family").select("cls", "v", F.struct("members", "family").alias("own")))
     del ranked
-    some = first.select("v", F.col("family").alias("other")).distinct()
-    near = cut(first.join(some, "v").where("family <> other").select("cls", "other").distinct())
+    some = first.select("v", F.col("own").alias("to")).distinct()
+    near = cut(first.join(some, "v").where("own < to").select("cls", F.col("to.family").alias("other")).distinct())
     del some, first
     union = token.select("v", F.col("family").alias("other")).join(near.select("other").distinct(), "other", "left_semi").distinct()
     mine = token.join(near.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "v")

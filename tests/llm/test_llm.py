@@ -91,6 +91,29 @@ def test_links_of_different_tiles_stay():
     assert sorted(zip(*[found.column(n).to_pylist() for n in "ab"], strict=True)) == [(1, 0), (2, 0)]
 
 
+def test_only_the_smaller_family_asks(spark):
+    """A large family isn't held against each small one beside it, and all links between families are found."""
+    rng = np.random.default_rng(4)
+    base = np.arange(60) * 1000
+    sets = [np.sort(np.where(rng.random(60) < 0.06, base + rng.integers(1, 4, 60), base)).tolist() for _ in range(86)]
+    family = [0] * 80 + [1] * 3 + [2] * 3
+    rows = [(k, k, f, 60, v) for k, (f, v) in enumerate(zip(family, sets, strict=True))]
+    member = spark.createDataFrame(rows, "cls long, grp long, family long, n long, vals array<long>").cache()
+    opened = [tuple(r) for r in jaccard_join._opened(member).collect()]
+    assert 0 < len(opened) <= 2 * 3 + 3
+    linked = {(a, b) for a in range(86) for b in range(86) if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    assert {f for a, b in linked if family[a] != family[b] for f in [(family[a], family[b])]} == {(0, 1), (0, 2), (1, 2)}
+
+    def reached(edges):
+        root = {g: g for g in range(86)}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert reached([tuple(r) for r in jaccard_join._links(member).collect()]) == reached(linked)
+
+
 def test_secrets(docs, empty):
     assert secrets.scan(empty).count() == 0
     got = {r["doc_id"]: r["secret_spans"] for r in secrets.scan(docs).collect()}
