@@ -5,8 +5,6 @@ The next symbol is predicted in two factors that are both learned: its class, an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 WINDOW = 32
@@ -72,24 +70,18 @@ class Attention:
         self.w["o"] = np.zeros((symbols, d), np.float32)  # by slot: a class has one run of rows
         self.w["ob"] = np.log(weight / each[self.group])[members].astype(np.float32)[:, None]
 
-    def _runs(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, int]]:
-        """For each class of several symbols among the targets y: their places, the class and its slots."""
-        slot = self.slot[y]
+    def _runs(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int, int]]]:
+        """Places of targets y in classes of several symbols, by class; their places in the class; for each class where they begin and end, it, and its slots."""
+        several = np.flatnonzero(self.size[self.group[y]] > 1)
+        slot = self.slot[y[several]]
         order = np.argsort(slot)  # slots go by class
-        g = self.group[y][order]
+        order, slot = several[order], slot[order]
+        g = self.group[y[order]]
         edge = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else g
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(g)).tolist(), strict=False):
-            c = int(g[a])
-            if self.size[c] > 1:
-                yield order[a:b], c, int(self.first[c]), int(self.first[c] + self.size[c])
-
-    def _within(self, h: np.ndarray, y: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities in a class for the rows of h, and the places of their targets y."""
-        z = h @ self.w["o"][lo:hi].T
-        z += self.w["ob"][lo:hi, 0]
-        _exp(z)
-        z *= (1 / z.sum(1))[:, None]
-        return z, self.slot[y] - lo
+        classes = g[edge]
+        lo = self.first[classes]
+        runs = zip(edge.tolist(), np.append(edge[1:], len(g)).tolist(), classes.tolist(), lo.tolist(), (lo + self.size[classes]).tolist(), strict=False)
+        return order, slot - self.first[g], list(runs)
 
     def train(self, ids: np.ndarray, target: np.ndarray, passes: int = 1, batch: int = 128, rate: float = 0.01, seed: int = 3, done: float = 0.0, share: float = 1.0) -> float:
         """ids, target: of windows(); each is used once in a pass. done and share: which part of the whole training this is. The last loss, in nats."""
@@ -97,6 +89,7 @@ class Attention:
         m, s2 = {n: np.zeros_like(w[n]) for n in _DENSE}, {n: np.zeros_like(w[n]) for n in _DENSE}
         e2, o2, ob2 = np.full(len(w["e"]), 1e-8, np.float32), np.full(len(self.size), 1e-8), np.full(len(self.size), 1e-8)
         flat = lambda y: y.reshape(-1, d)
+        within, pull = np.hstack([w["o"], w["ob"]]), np.empty(d + 1, np.float32)  # a last column of ones in h meets the biases
         turns = [a for _ in range(passes) for order in [r.permutation(len(ids))] for a in np.split(order, np.arange(batch, len(order), batch))]
         root, all_ones, loss = np.float32(d**-0.5), np.ones(len(self.size), np.float32), 0.0
         for t, pick in enumerate(turns, 1):
@@ -109,36 +102,44 @@ class Attention:
             a *= _SEEN
             a *= (1 / (a @ _ONES))[..., None]
             seen = a @ v
-            h = flat(seen + x)
+            h = np.ones((i.size, d + 1), np.float32)
+            np.add(flat(seen), flat(x), out=h[:, :d])
             goal = y.ravel()
             real = None if goal.min() >= 0 else np.flatnonzero(goal >= 0)
             if real is not None:
                 h, goal = h[real], goal[real]
             n, rows = np.float32(len(goal)), np.arange(len(goal))
-            p = h @ w["u"]
-            p += w["b"]
-            _exp(p, _longest(h) * _longest(w["u"].T) + float(np.abs(w["b"]).max()))
-            p *= (1 / (n * (p @ all_ones)))[:, None]
+            heads = np.vstack([w["u"], w["b"]])
+            p = _exp(h @ heads, _longest(h) * _longest(heads.T))
+            total = p @ all_ones
             at = rows, self.group[goal]
-            now = -np.log(p[at] * n + 1e-30).sum()
-            p[at] -= 1 / n
-            grad = {"b": rows.size and p.T @ np.ones(len(goal), np.float32), "u": h.T @ p}
+            now = -np.log(p[at] / total + 1e-30).sum()
+            p[at] -= total  # each row is total times n too large; what is made from it is brought down
+            down = 1 / (n * total)
+            gu = (h * down[:, None]).T @ p
+            grad = {"b": gu[d], "u": gu[:d]}
             dh = p @ w["u"].T
+            dh *= down[:, None]
             pace = np.float32(min(1.0, t / 20) * (1 - 0.9 * (done + share * t / len(turns))))
-            for own, c, lo, hi in self._runs(goal):
-                mine = h[own]
-                dz, spot = self._within(mine, goal[own], lo, hi)
-                spot = np.arange(len(own)), spot
-                now -= np.log(dz[spot] + 1e-30).sum()
-                dz[spot] -= 1
-                dz /= n
-                dh[own] += dz @ w["o"][lo:hi]
-                do, db = dz.T @ mine, dz.sum(0)
-                o2[c] += np.vdot(do, do)
-                ob2[c] += np.vdot(db, db)
-                do *= np.float32(50 * rate * pace / o2[c] ** 0.5)
-                w["o"][lo:hi] -= do
-                w["ob"][lo:hi, 0] -= db * np.float32(20 * rate * pace / ob2[c] ** 0.5)
+            own, spots, runs = self._runs(goal)
+            by_class, back, right = h[own], np.empty((len(own), d + 1), np.float32), np.empty(len(own), np.float32)
+            for b0, b1, c, lo, hi in runs:
+                mine, spot = by_class[b0:b1], (rows[: b1 - b0], spots[b0:b1])
+                dz = _exp(mine @ within[lo:hi].T)
+                dz *= (1 / (n * dz.sum(1)))[:, None]
+                right[b0:b1] = there = dz[spot]
+                dz[spot] = there - 1 / n
+                np.matmul(dz, within[lo:hi], out=back[b0:b1])
+                do = dz.T @ mine
+                db = do[:, d]
+                bias = np.vdot(db, db)
+                o2[c] += np.vdot(do, do) - bias
+                ob2[c] += bias
+                pull[:d], pull[d] = 50 * rate * pace / o2[c] ** 0.5, 20 * rate * pace / ob2[c] ** 0.5
+                do *= pull
+                within[lo:hi] -= do
+            dh[own] += back[:, :d]
+            now -= np.log(right * n + 1e-30).sum()
             loss = now / n if t == 1 else 0.95 * loss + 0.05 * now / n
             if real is not None:
                 whole = np.zeros((i.size, d), np.float32)
@@ -165,6 +166,7 @@ class Attention:
                 m[name] += 0.1 * (g - m[name])
                 s2[name] += 0.01 * (g * g - s2[name])
                 w[name] -= (rate * pace * (m[name] / (1 - 0.9**t)) / (np.sqrt(s2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        w["o"], w["ob"] = within[:, :d].copy(), within[:, d:].copy()
         return float(loss)
 
     def dense(self) -> np.ndarray:
@@ -185,11 +187,13 @@ class Attention:
     def ready(self) -> Attention:
         """Products by symbol and by place, so that scoring gathers instead of multiplying."""
         w = self.w
-        wide = np.hstack([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"], np.eye(WIDTH, dtype=np.float32)])
-        self.table, self.place = w["e"] @ wide, w["p"] @ wide
+        asks, told = np.hstack([w["q"] * np.float32(WIDTH**-0.5), np.eye(WIDTH, WIDTH + 1, dtype=np.float32)]), np.hstack([w["k"], w["v"], np.zeros((WIDTH, 1), np.float32)])
+        self.asks, self.asks_at, self.told, self.told_at = w["e"] @ asks, w["p"] @ asks, w["e"] @ told, w["p"] @ told
+        self.asks_at[:, -1] = 1  # a last column of ones meets the biases
+        self.heads, self.within = np.vstack([w["u"], w["b"]]), np.hstack([w["o"], w["ob"]])
         return self
 
-    def log_probability(self, symbols: np.ndarray, sizes: np.ndarray, block: int = 256) -> np.ndarray:
+    def log_probability(self, symbols: np.ndarray, sizes: np.ndarray, block: int = 512) -> np.ndarray:
         """Natural log probability of each text; symbols of all texts, one after another, each scored once."""
         step = WINDOW - OVERLAP
         more = np.maximum(0, -(-(sizes - WINDOW) // step))
@@ -201,29 +205,36 @@ class Attention:
         place = np.arange(WINDOW)
         padded = np.concatenate([symbols, np.zeros(WINDOW + 1, symbols.dtype)])
         all_ones = np.ones(len(self.size), np.float32)
-        most, least = _longest(self.w["u"].T), float(np.abs(self.w["b"]).max())
-        for a in range(0, len(text), block):
-            t, k = text[a : a + block], nth[a : a + block]
-            begin = (first[t] + k * step)[:, None] + place
-            left = (sizes[t] - k * step)[:, None]
-            before = padded[np.clip(begin - 1, 0, len(padded) - 1)].astype(np.int64)
-            before[k == 0, 0] = self.begin
-            x = self.table.take(before, 0)
-            x += self.place
-            q, key, v = (x[..., n * WIDTH : (n + 1) * WIDTH] for n in range(3))
-            s = _exp(q @ key.transpose(0, 2, 1), _longest(q) * _longest(key))
-            s *= _SEEN
-            mix = s @ v
-            mix *= (1 / (s @ _ONES))[..., None]
-            mix += x[..., 3 * WIDTH :]
-            counted = (place < left) & ((place >= OVERLAP) | (k == 0)[:, None])
-            h, y = mix[counted], padded[begin[counted]].astype(np.int64)
-            z = h @ self.w["u"]
-            z += self.w["b"]
-            _exp(z, _longest(h) * most + least)
-            logp = np.log(z[np.arange(len(y)), self.group[y]] / (z @ all_ones) + 1e-30).astype(float)
-            for rows, _, lo, hi in self._runs(y):
-                p, spot = self._within(h[rows], y[rows], lo, hi)
-                logp[rows] += np.log(p[np.arange(len(rows)), spot] + 1e-30)
-            out[a : a + block] = np.bincount(np.nonzero(counted)[0], logp, minlength=len(t))
+        most = _longest(self.heads.T)
+        longest = np.sqrt(np.maximum.reduceat(np.einsum("ij,ij->i", self.within, self.within), self.first)).tolist()
+        # what is context only answers but doesn't ask: a text's later windows ask from OVERLAP on
+        for ask, which in ((0, np.flatnonzero(nth == 0)), (OVERLAP, np.flatnonzero(nth > 0))):
+            for pick in np.split(which, np.arange(block, len(which), block)):
+                t, k = text[pick], nth[pick]
+                begin = (first[t] + k * step)[:, None] + place
+                before = padded[np.clip(begin - 1, 0, len(padded) - 1)].astype(np.int64)
+                before[k == 0, 0] = self.begin
+                x = self.told.take(before, 0)
+                x += self.told_at
+                own = self.asks.take(before[:, ask:], 0)
+                own += self.asks_at[ask:]
+                q, key, v = own[..., :WIDTH], x[..., :WIDTH], x[..., WIDTH:]
+                s = _exp(q @ key.transpose(0, 2, 1), _longest(q) * _longest(key))
+                s *= _SEEN[ask:]
+                mix = s @ v
+                mix *= (1 / (s @ _ONES))[..., None]
+                mix += own[..., WIDTH:]
+                counted = place[ask:] < (sizes[t] - k * step)[:, None]
+                h, y = mix[counted], padded[begin[:, ask:][counted]].astype(np.int64)
+                long = _longest(h)
+                z = _exp(h @ self.heads, long * most)
+                rows = np.arange(len(y))
+                logp = np.log(z[rows, self.group[y]] / (z @ all_ones) + 1e-30).astype(float)
+                order, spots, runs = self._runs(y)
+                by_class, right = h[order], np.empty(len(order), np.float32)
+                for b0, b1, c, lo, hi in runs:
+                    p = _exp(by_class[b0:b1] @ self.within[lo:hi].T, long * longest[c])
+                    right[b0:b1] = p[rows[: b1 - b0], spots[b0:b1]] / p.sum(1)
+                logp[order] += np.log(right + 1e-30)
+                out[pick] = np.bincount(np.nonzero(counted)[0], logp, minlength=len(t))
         return np.bincount(text, out, minlength=len(sizes))

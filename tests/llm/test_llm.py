@@ -537,6 +537,18 @@ def test_attention_equals_a_plain_loop():
     np.testing.assert_allclose(got, want, rtol=1e-4)
 
 
+def test_context_only_answers(monkeypatch):
+    """Attention weights are made for the tokens that a window scores, not for those that are its context."""
+    net = attention.Attention(7).ready()
+    asked = []
+    real = attention._exp
+    monkeypatch.setattr(attention, "_exp", lambda x, *a: asked.append(x.size if x.ndim == 3 else 0) or real(x, *a))
+    s = np.random.default_rng(1).integers(0, 7, 160)
+    net.log_probability(s, np.array([160]))
+    later = (160 - attention.WINDOW) // (attention.WINDOW - attention.OVERLAP)
+    assert sum(asked) == attention.WINDOW * (attention.WINDOW + later * (attention.WINDOW - attention.OVERLAP))
+
+
 def test_lm_trains_on_all_training_texts(spark, monkeypatch):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     word = ["ash", "birch", "cedar"]
