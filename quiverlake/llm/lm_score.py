@@ -9,8 +9,8 @@ windows score each token once, with half a window of context.
 
 The base score is a smoothed word model over all training documents. Documents are dealt to batches
 of about BATCH_CHARS; each batch sends its distinct words (64-bit hashes, with counts) to the
-buckets of the hash space and gets their totals back, so no table of words is ever in one place;
-its words' subwords wait for it with them.
+buckets of the hash space and gets their totals back, so no table of words is ever in one place.
+Texts are split into words once: training and scoring read each batch's word numbers and subwords.
 
 A null or empty text is its end alone. Repeated rows are texts each; a null doc_id has the fold of the empty text.
 An empty table gives none; without training documents all counts are 0. Extra columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlake.llm.attention import WIDTH, Attention, windows
-from quiverlake.llm.common import BLANKS, LOWER, buffers, crc_mod, cut, need, packed, table, unpacked, words_of
+from quiverlake.llm.common import BLANKS, LOWER, buffers, crc_mod, cut, need, packed, table, words_of
 
 VOCABULARY = os.environ.get("QUIVERLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 FOLDS, HELD_OUT = 5, 1
@@ -71,8 +71,21 @@ def encoder(path: str) -> Subwords:
     return _encoders[path]
 
 
-def vocabulary_of(column: pa.Array, spelled: bool = True):
-    """Distinct word hashes, each word's place among them, its text, and (if spelled) the distinct words as bytes."""
+def squeezed(values: np.ndarray, kind: str) -> bytes:
+    """packed() numbers, compressed: all first bytes, then all second ones and so on, after their number."""
+    flat = np.ascontiguousarray(values, kind)
+    planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T)
+    return packed(np.array([len(flat)]), "<i8") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(cell: bytes, kind: str) -> np.ndarray:
+    n, width = int(np.frombuffer(cell, "<i8", 1)[0]), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(memoryview(cell)[8:], n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def vocabulary_of(column: pa.Array):
+    """Distinct word hashes, each word's place among them, its text, and the distinct words as bytes."""
     _, data = buffers(column)
     docs, hashes, starts, ends = [], [], [], []
     for w in words_of(column, BLANKS):
@@ -89,8 +102,6 @@ def vocabulary_of(column: pa.Array, spelled: bool = True):
     distinct, first = ranked[new], order[new]
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    if not spelled:
-        return distinct, place, doc, b""
     start, end = np.concatenate(starts)[first], np.concatenate(ends)[first]
     size = end - start
     out = np.full(int(size.sum()) + 2 * len(size), 10, np.uint8)
@@ -101,62 +112,59 @@ def vocabulary_of(column: pa.Array, spelled: bool = True):
     return distinct, place, doc, out.tobytes()
 
 
+#: Of a batch's own row: its subword counts; its distinct words' subwords and how many each has; its words' places
+#: among the distinct ones; each text's words, fold and id.
+OWN = ("ids", "id_counts", "split", "pieces", "place", "words", "held", "doc_ids")
+
+
 def _asked(bits: int, path: str):
-    """Of a batch: its distinct words by bucket with counts in training texts; its subword counts; its words' subwords."""
+    """Of a batch: its distinct words by bucket with counts in training texts; and all its texts as numbers."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        batch = key[0].as_py()
-        text, held = rows.column("text").combine_chunks(), np.asarray(rows.column("held_out").combine_chunks())
-        distinct, place, doc, words = vocabulary_of(text)
-        out: dict[str, list] = {"batch": [], "bucket": [], "hashes": [], "counts": [], "ids": [], "id_counts": [], "split": [], "pieces": []}
-        if len(distinct):
-            train = np.bincount(place, ~held[doc], minlength=len(distinct)).astype(np.int64)
-            bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64)
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for a, b in zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist(), strict=True):
-                out["batch"].append(batch)
-                out["bucket"].append(int(bucket[a]))
-                out["hashes"].append(packed(distinct[a:b], "<u8"))
-                out["counts"].append(packed(train[a:b], "<u4"))
-                for n in ("ids", "id_counts", "split", "pieces"):
-                    out[n].append(None)
-            ids, sizes = encoder(path).of(words, len(distinct))
-            count = np.bincount(ids, np.repeat(train, sizes)).astype(np.int64)
-            some = np.flatnonzero(count)
-            out["batch"].append(batch)
-            out["bucket"].append(-1 - batch)
-            out["hashes"].append(None)
-            out["counts"].append(None)
-            out["ids"].append(some.tolist())
-            out["id_counts"].append(count[some].tolist())
-            out["split"].append(packed(ids, "<u4"))
-            out["pieces"].append(packed(sizes, "<u4"))
-        kinds = {"batch": pa.int64(), "bucket": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "ids": pa.list_(pa.int64()), "id_counts": pa.list_(pa.int64()), "split": pa.binary(), "pieces": pa.binary()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        batch, n = key[0].as_py(), rows.num_rows
+        rows = rows.sort_by("turn")
+        held = np.asarray(rows.column("held_out").combine_chunks())
+        distinct, place, doc, words = vocabulary_of(rows.column("text").combine_chunks())
+        train = np.bincount(place, ~held[doc], minlength=len(distinct)).astype(np.int64)
+        bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64)
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(distinct) else bucket
+        ranges = list(zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist(), strict=False))
+        ids, sizes = encoder(path).of(words, len(distinct))
+        count = np.bincount(ids, np.repeat(train, sizes)).astype(np.int64)
+        some = np.flatnonzero(count)
+        none, doc_ids = [None] * len(ranges), rows.column("doc_id").combine_chunks()
+        own = {"ids": packed(some, "<u4"), "id_counts": packed(count[some], "<i8"), "split": squeezed(ids, "<u4"), "pieces": squeezed(sizes, "<u4"), "place": squeezed(place, "<u4"), "words": squeezed(np.bincount(doc, minlength=n), "<u4"), "held": squeezed(held, "u1")}
+        return pa.table({
+            "batch": pa.array([batch] * (len(ranges) + 1), pa.int64()), "bucket": pa.array([*bucket[edge].tolist(), None], pa.int64()),
+            "hashes": pa.array([*(squeezed(distinct[a:b], "<u8") for a, b in ranges), None], pa.binary()), "counts": pa.array([*(squeezed(train[a:b], "<u4") for a, b in ranges), None], pa.binary()),
+            **{c: pa.array([*none, x], pa.binary()) for c, x in own.items()},
+            "doc_ids": pa.concat_arrays([pa.nulls(len(ranges), pa.list_(doc_ids.type)), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), doc_ids)]),
+        })
 
     return run
 
 
 def _answered(rows: pa.Table) -> pa.Table:
     """Totals of a bucket's words for each batch that asked; on the first row also their number and sum."""
-    if rows.column("hashes")[0].as_py() is None:
-        return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "totals": pa.array([None] * rows.num_rows, pa.binary()), "kinds": pa.array([0] * rows.num_rows, pa.int64()), "tokens": pa.array([0] * rows.num_rows, pa.int64()), **{c: rows.column(c) for c in ("ids", "id_counts", "split", "pieces")}})
-    asked = rows.column("hashes").to_pylist()
-    hashes, counts = unpacked(asked, "<u8"), unpacked(rows.column("counts").to_pylist(), "<u4")
-    distinct, place = np.unique(hashes, return_inverse=True)
+    asked = [unsqueezed(x, "<u8") for x in rows.column("hashes").to_pylist()]
+    counts = np.concatenate([unsqueezed(x, "<u4") for x in rows.column("counts").to_pylist()])
+    distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(place, counts, minlength=len(distinct)).astype(np.int64)
-    answer = total[place]
-    ends = np.cumsum([len(x) // 8 for x in asked])
-    n = rows.num_rows
-    none, blank = pa.array([None] * n, pa.list_(pa.int64())), pa.array([None] * n, pa.binary())
+    answers = np.split(total[place], np.cumsum([len(x) for x in asked])[:-1])
+    none = [0] * (rows.num_rows - 1)
     return pa.table({
-        "batch": rows.column("batch"), "bucket": rows.column("bucket"),
-        "totals": pa.array([packed(answer[e - len(x) // 8 : e], "<i8") for e, x in zip(ends, asked, strict=True)], pa.binary()),
-        "kinds": pa.array([int((total > 0).sum())] + [0] * (n - 1), pa.int64()), "tokens": pa.array([int(total.sum())] + [0] * (n - 1), pa.int64()),
-        "ids": none, "id_counts": none, "split": blank, "pieces": blank,
+        "batch": rows.column("batch"), "bucket": rows.column("bucket"), "totals": pa.array([squeezed(x, "<i8") for x in answers], pa.binary()),
+        "kinds": pa.array([int((total > 0).sum()), *none], pa.int64()), "tokens": pa.array([int(total.sum()), *none], pa.int64()),
     })
 
 
+def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of subwords in training texts, of each batch's own row."""
+    for rows in batches:
+        for ids, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            yield pa.record_batch({"id": np.frombuffer(ids, "<u4").astype(np.int64), "n": np.frombuffer(counts, "<i8")})
+
+
 def classes_of(counts: np.ndarray) -> np.ndarray:
     """Class of each subword: the HEAD most frequent alone, the others by frequency in classes that grow by GROWTH."""
     sizes = [1] * min(HEAD, len(counts))
@@ -181,16 +189,20 @@ def _sequences(place: np.ndarray, doc: np.ndarray, ids: np.ndarray, sizes: np.nd
     return out, total
 
 
+def _texts(row: dict, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's own row: subword ids of its texts and how many each has; which are held out; its words' places and texts."""
+    split, pieces, place, words = (unsqueezed(row[c], "<u4").astype(np.int64) for c in ("split", "pieces", "place", "words"))
+    doc = np.repeat(np.arange(len(words)), words)
+    return *_sequences(place, doc, split, pieces, len(words), end), unsqueezed(row["held"], "u1").astype(bool), place, doc
+
+
 def _trained(held):
     """A batch's share in a round: one pass over every window of its training texts; what it changed, by shards of rows."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def one(row: dict) -> pa.RecordBatch:
         net, end, done, share, least = held.value
-        rows = rows.sort_by("turn")
-        distinct, place, doc, _ = vocabulary_of(rows.column("text").combine_chunks(), spelled=False)
-        ids, sizes = (unpacked(answers.column(c).to_pylist(), "<u4").astype(np.int64) for c in ("split", "pieces"))
-        sequence, length = _sequences(place, doc, ids, sizes, rows.num_rows, end)
-        learn = ~np.asarray(rows.column("held_out").combine_chunks())
+        sequence, length, apart, _, _ = _texts(row, end)
+        learn = ~apart
         out: dict[str, list] = {"shard": [], "ids": [], "change": [], "tokens": []}
         if learn.any():
             before, target = windows(sequence[np.repeat(learn, length)], length[learn], net.begin)
@@ -212,7 +224,12 @@ def _trained(held):
             out["change"].append(packed(net.dense() - dense, "<f4"))
             out["tokens"].append(n)
         kinds = {"shard": pa.int64(), "ids": pa.binary(), "change": pa.binary(), "tokens": pa.int64()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        return pa.record_batch({k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                yield one(rows.slice(i, 1).to_pylist()[0])
 
     return run
 
@@ -234,15 +251,13 @@ def _averaged(rows: pa.Table) -> pa.Table:
 CHANGES = "shard long, ids binary, change binary, tokens long"
 
 
-def train(dealt: DataFrame, answers: DataFrame, net: Attention, end: int, batches: int) -> int:
+def train(own: DataFrame, net: Attention, end: int, batches: int) -> int:
     """Trains net on every training text, in rounds of batches whose changes are averaged; the tokens it learned from."""
-    spark, rounds, seen = dealt.sparkSession, min(batches, ROUNDS), 0
-    replies = answers.where("split is not null").select("batch", "split", "pieces")
+    spark, rounds, seen = own.sparkSession, min(batches, ROUNDS), 0
     for r in range(rounds):
         mine = F.pmod(F.col("batch"), F.lit(rounds)) == r
         held = spark.sparkContext.broadcast((net, end, r / rounds, 1 / rounds, -(-LEAST_STEPS // rounds)))
-        texts = dealt.where(mine).withColumn("turn", F.xxhash64("doc_id", "text")).select("batch", "turn", "text", "held_out")
-        changed = texts.groupBy("batch").cogroup(replies.where(mine).groupBy("batch")).applyInArrow(_trained(held), CHANGES)
+        changed = own.where(mine).select("split", "pieces", "place", "words", "held").mapInArrow(_trained(held), CHANGES)
         found = changed.groupBy("shard").applyInArrow(_averaged, CHANGES).collect()  # the model's size, whatever the input's
         dense, rows = net.dense(), net.rows()
         for x in found:
@@ -261,24 +276,22 @@ def train(dealt: DataFrame, answers: DataFrame, net: Attention, end: int, batche
 def _scored(held):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answers: pa.Table) -> pa.Table:
         net, end, docs, tokens, kinds = held.value
-        text = rows.column("text").combine_chunks()
-        n = rows.num_rows
-        distinct, place, doc, _ = vocabulary_of(text, spelled=False)
+        doc_ids = rows.column("doc_ids").combine_chunks().flatten()
+        sequence, length, apart, place, doc = _texts(rows.drop_columns("doc_ids").to_pylist()[0], end)
+        n = len(length)
         order = np.argsort(answers.column("bucket").to_numpy())
         cells = answers.column("totals").to_pylist()
-        count = unpacked([cells[i] for i in order], "<i8").astype(float)
-        ids, sizes = (unpacked(answers.column(c).to_pylist(), "<u4").astype(np.int64) for c in ("split", "pieces"))
         below = np.log10(tokens + 0.5 * (kinds + 1))
         base = np.full(n, np.log10(docs + 0.5) - below)
         known = np.full(n, int(docs > 0), np.int64)
         n_tokens = np.ones(n, np.int64)
-        if len(distinct):
+        if len(place):
+            count = np.concatenate([unsqueezed(cells[i], "<i8") for i in order]).astype(float)
             base += np.bincount(doc, (np.log10(count + 0.5) - below)[place], minlength=n)
-            known += np.bincount(doc, count[place] > 0, minlength=n).astype(np.int64)
+            known += np.bincount(doc, (count > 0)[place], minlength=n).astype(np.int64)
             n_tokens += np.bincount(doc, minlength=n)
-        sequence, length = _sequences(place, doc, ids, sizes, n, end)
         nats = net.log_probability(sequence, length)
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(n, int(tokens), np.int64), "base_score": base, "score": nats / np.log(10)})
+        return pa.table({"doc_id": doc_ids, "held_out": apart, "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(n, int(tokens), np.int64), "base_score": base, "score": nats / np.log(10)})
 
     return run
 
@@ -292,23 +305,26 @@ def score_texts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     chars, train_docs = size["chars"] or 0, size["docs"] or 0
     batches = max(1, chars // BATCH_CHARS)
     bits = int(max(2, np.ceil(np.log2(max(1, chars / 80) / PER_BUCKET + 1)) + 1))
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    asked = dealt.groupBy("batch").applyInArrow(_asked(bits, path), "batch long, bucket long, hashes binary, counts binary, ids array<long>, id_counts array<long>, split binary, pieces binary")
-    answers = cut(asked.groupBy("bucket").applyInArrow(_answered, "batch long, bucket long, totals binary, kinds long, tokens long, ids array<long>, id_counts array<long>, split binary, pieces binary"))
+    kind = dict(docs.dtypes)["doc_id"]
+    dealt = rows.withColumn("turn", F.xxhash64("doc_id", "text")).withColumn("batch", F.pmod("turn", F.lit(batches)))
+    blobs = ", ".join(f"{c} binary" for c in OWN[:-1])
+    asked = cut(dealt.groupBy("batch").applyInArrow(_asked(bits, path), f"batch long, bucket long, hashes binary, counts binary, {blobs}, doc_ids array<{kind}>"))
+    own = asked.where("bucket is null").select("batch", *OWN)
+    asking = asked.where("bucket is not null").select("batch", "bucket", "hashes", "counts")
+    answers = cut(asking.groupBy("bucket").applyInArrow(_answered, "batch long, bucket long, totals binary, kinds long, tokens long"))
     whole = answers.agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).first()
     kinds, tokens = (whole["kinds"] or 0) + (train_docs > 0), (whole["tokens"] or 0) + train_docs
     sub = encoder(path)
     counts = np.zeros(sub.size)
-    pairs = answers.where("ids is not null").select(F.explode(F.arrays_zip("ids", "id_counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.id_counts").alias("n"))
+    pairs = own.select("ids", "id_counts").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     for r in pairs.collect():  # at most one row for each subword of the vocabulary
         counts[r[0]] = r[1]
     counts[sub.end] = train_docs
     net = Attention(sub.size, classes_of(counts), counts)
-    train(dealt, answers, net, sub.end, batches)
+    train(own, net, sub.end, batches)
     held = spark.sparkContext.broadcast((net, sub.end, train_docs, tokens, kinds))
-    replies = answers.select("batch", "bucket", "totals", "split", "pieces")
-    scored = dealt.groupBy("batch").cogroup(replies.groupBy("batch"))
-    kind = dict(docs.dtypes)["doc_id"]
+    replies = answers.select("batch", "bucket", "totals")
+    scored = own.drop("ids", "id_counts").groupBy("batch").cogroup(replies.groupBy("batch"))
     return scored.applyInArrow(_scored(held), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

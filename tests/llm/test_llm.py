@@ -563,6 +563,37 @@ def test_lm_trains_on_all_training_texts(spark, monkeypatch):
     assert seen == [sum(1 + sum(pieces[w] for w in t.split()) for i, t in rows if not held(i))]
 
 
+def test_lm_splits_texts_into_words_once(spark):
+    """A text is read for the table's size and for its words; training and scoring read numbers."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"ash birch {i % 7} cedar") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.score_texts(docs.withColumn("text", seen("text"))).collect()
+    assert len(got) == 60 and all(r["score"] < 0 for r in got)
+    assert read.value <= 2 * len(rows)
+
+
+def test_attention_in_parts(monkeypatch):
+    """Blocks of logits are a matter of speed: training and scores are the same for any."""
+    r = np.random.default_rng(4)
+    ids, sizes = r.integers(0, 150, 900), np.array([1, 33, 70, 0, 796])
+    counts = np.bincount(ids, minlength=150)
+    found = []
+    for part, together in ((attention._PART, attention._TOGETHER), (7, 90)):
+        monkeypatch.setattr(attention, "_PART", part)
+        monkeypatch.setattr(attention, "_TOGETHER", together)
+        net = attention.Attention(150, lm_score.classes_of(counts), counts)
+        loss = net.train(*attention.windows(ids, sizes, net.begin), passes=5, batch=8)
+        found.append(np.append(net.ready().log_probability(ids, sizes), loss))
+    np.testing.assert_allclose(*found, rtol=1e-4)
+
+
 def test_attention_sees_and_predicts_subword_ids():
     r = np.random.default_rng(2)
     follows = r.permutation(200)
