@@ -69,7 +69,7 @@ class Attention:
         self.slot = np.empty(symbols, np.int64)
         self.slot[members] = np.arange(symbols)
         self.inside = self.slot - self.first[self.group]
-        self.shared = self.size[self.group] > 1
+        self.shared = np.append(self.size[self.group] > 1, False)  # -1, where there is no target, has no class
         self.ones = np.ones(max(c, int(self.size.max(initial=0))), np.float32)
         self.near = self.group.astype(np.uint16 if c < 1 << 16 else np.int64)  # a stable sort of small numbers counts instead of comparing
         shape = {"e": (symbols + 1, d), "p": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "u": (d, c), "b": (c,)}
@@ -116,12 +116,15 @@ class Attention:
     def train(self, ids: np.ndarray, target: np.ndarray, passes: int = 1, batch: int = 128, rate: float = 0.01, seed: int = 3, done: float = 0.0, share: float = 1.0) -> float:
         """ids, target: of windows(); each is used once in a pass. done and share: which part of the whole training this is. The last loss, in nats."""
         r, w, d = np.random.default_rng(seed), self.w, WIDTH
-        m, s2 = {n: np.zeros_like(w[n]) for n in _DENSE}, {n: np.zeros_like(w[n]) for n in _DENSE}
+        dense, sizes = self.dense(), [w[n].size for n in _DENSE]
+        w |= {n: z.reshape(w[n].shape) for n, z in zip(_DENSE, np.split(dense, np.cumsum(sizes)[:-1]), strict=True)}  # views: one step moves all
+        m, s2 = np.zeros_like(dense), np.zeros_like(dense)
         e2, o2, ob2 = np.full(len(w["e"]), 1e-8, np.float32), [1e-8] * len(self.size), [1e-8] * len(self.size)
         flat = lambda y: y.reshape(-1, d)
         within, pull = np.hstack([w["o"], w["ob"]]), np.empty(d + 1, np.float32)  # a last column of ones in h meets the biases
         begins = np.arange(_PART) * len(self.size)
         turns = [a for _ in range(passes) for order in [r.permutation(len(ids))] for a in np.split(order, np.arange(batch, len(order), batch))]
+        few = np.uint16 if len(w["e"]) <= 1 << 16 else np.int32
         root, loss = np.float32(d**-0.5), 0.0
         class_ones, some_ones, logits = self.ones[: len(self.size)], self.ones[:1].repeat(d), np.empty((_PART, len(self.size)), np.float32)
         for t, pick in enumerate(turns, 1):
@@ -137,10 +140,9 @@ class Attention:
             h = np.ones((i.size, d + 1), np.float32)
             np.add(flat(seen), flat(x), out=h[:, :d])
             goal = y.ravel()
-            real = None if goal.min() >= 0 else np.flatnonzero(goal >= 0)
-            if real is not None:
-                h, goal = h[real], goal[real]
-            n = np.float32(len(goal))
+            real = goal >= 0
+            n = np.float32(np.count_nonzero(real))
+            weight = real / n
             heads, classes = np.vstack([w["u"], w["b"]]), self.group[goal]
             bound = _longest(h, d) * _longest(w["u"].T) + float(np.abs(w["b"]).max())
             back_u, gu, dh, chance = np.ascontiguousarray(w["u"].T), 0, np.empty((len(goal), d), np.float32), np.empty(len(goal), np.float32)
@@ -151,10 +153,10 @@ class Attention:
                 right, total = line.take(at), p @ class_ones
                 np.divide(right, total, out=chance[a0 : a0 + _PART])
                 line[at] = right - total  # each row is total times n too large; what is made from it is brought down
-                down = (1 / (n * total))[:, None]
+                down = (weight[a0 : a0 + _PART] / total)[:, None]
                 gu = gu + (part * down).T @ p
                 np.multiply(p @ back_u, down, out=dh[a0 : a0 + _PART])
-            now = -np.log(chance + 1e-30).sum()
+            now = -np.log(chance + 1e-30).sum(where=real)
             grad = {"b": gu[d], "u": gu[:d]}
             pace = np.float32(min(1.0, t / 20) * (1 - 0.9 * (done + share * t / len(turns))))
             fast, slow = 50 * rate * float(pace), 20 * rate * float(pace)
@@ -179,37 +181,36 @@ class Attention:
                     do *= pull
                     mine -= do
                 back[begin:stop] *= down
-            dh[own] += back[:, :d]
+            more = np.zeros_like(dh)
+            more[own] = back[:, :d]
+            dh += more
             loss = now / n if t == 1 else 0.95 * loss + 0.05 * now / n
-            if real is not None:
-                whole = np.zeros((i.size, d), np.float32)
-                whole[real] = dh
-                dh = whole
             dh = dh.reshape(x.shape)
-            ds, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+            ds = dh @ v.transpose(0, 2, 1)
             ds -= ((dh * seen) @ some_ones)[..., None]
             ds *= a
             each = np.empty((*i.shape, 3 * d), np.float32)
             np.matmul(ds, k, out=each[..., :d])
             np.matmul(ds.transpose(0, 2, 1), q, out=each[..., d : 2 * d])
-            each[..., 2 * d :] = dv
+            np.matmul(a.transpose(0, 2, 1), dh, out=each[..., 2 * d :])
             each = each.reshape(-1, 3 * d)
             gq, gk, gv = np.split(sum(flat(x)[a0 : a0 + _PART].T @ each[a0 : a0 + _PART] for a0 in range(0, len(each), _PART)), 3, 1)
             grad |= {"q": gq * root, "k": gk, "v": gv}
             dx = (each @ wide.T).reshape(x.shape)
             dx += dh
             grad["p"] = dx.sum(0)
-            order = np.argsort(i.ravel())
-            ranked = i.ravel()[order]
+            ranked = i.ravel().astype(few)
+            order = np.argsort(ranked, kind="stable")
+            ranked = ranked[order]
             edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
             some, de = ranked[edge], np.add.reduceat(flat(dx).take(order, 0), edge)
             e2[some] += np.einsum("ij,ij->i", de, de)
             de *= (np.float32(20 * rate * pace) / np.sqrt(e2[some]))[:, None]
             w["e"][some] -= de
-            for name, g in grad.items():
-                m[name] += 0.1 * (g - m[name])
-                s2[name] += 0.01 * (g * g - s2[name])
-                w[name] -= (rate * pace * (m[name] / (1 - 0.9**t)) / (np.sqrt(s2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            g = np.concatenate([grad[name].ravel() for name in _DENSE])
+            m += 0.1 * (g - m)
+            s2 += 0.01 * (g * g - s2)
+            dense -= (rate * pace * (m / (1 - 0.9**t)) / (np.sqrt(s2 / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         w["o"], w["ob"] = within[:, :d].copy(), within[:, d:].copy()
         return float(loss)
 
@@ -233,7 +234,7 @@ class Attention:
         w = self.w
         asks, told = np.hstack([w["q"] * np.float32(WIDTH**-0.5), np.eye(WIDTH, WIDTH + 1, dtype=np.float32)]), np.hstack([w["k"], w["v"], np.zeros((WIDTH, 1), np.float32)])
         self.asks, self.asks_at, self.told, self.told_at = w["e"] @ asks, w["p"] @ asks, w["e"] @ told, w["p"] @ told
-        self.asks_at[:, -1] = 1  # a last column of ones meets the biases
+        self.told_at[:, -1] = 1  # a last column of ones adds up attention's weights, then meets the biases
         self.heads, self.within = np.vstack([w["u"], w["b"]]), np.hstack([w["o"], w["ob"]])
         reach = [_longest(x, WIDTH) for x in (self.asks, self.asks_at, self.told, self.told_at)]
         self.bound = (reach[0] + reach[1]) * (reach[2] + reach[3])  # of attention's logits
@@ -259,7 +260,7 @@ class Attention:
             for pick in np.split(which, np.arange(block, len(which), block)):
                 t, k = text[pick], nth[pick]
                 begin = (first[t] + k * step)[:, None] + place
-                before = padded[np.clip(begin - 1, 0, len(padded) - 1)].astype(np.int64)
+                before = padded[np.clip(begin - 1, 0, len(padded) - 1)].astype(np.int64, copy=False)
                 before[k == 0, 0] = self.begin
                 x = self.told.take(before, 0)
                 x += self.told_at
@@ -269,7 +270,7 @@ class Attention:
                 s = _exp(q @ key.transpose(0, 2, 1), self.bound)
                 s *= _SEEN[ask:]
                 mix = s @ v
-                mix *= (1 / (s @ _ONES))[..., None]
+                mix *= (1 / mix[..., WIDTH])[..., None]
                 mix += own[..., WIDTH:]
                 counted = place[ask:] < (sizes[t] - k * step)[:, None]
                 real = np.flatnonzero(counted)
