@@ -6,6 +6,11 @@ the query's terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +18,8 @@ from quiverlake.functions.text import LONGEST, cut, tokens, uncut_tokens
 
 K1, B = 1.2, 0.75
 MAX_TOPK = 1024
-#: A term's postings are in one of BUCKETS folders, dealt over SALTS writers, so that no term is one task's work.
-BUCKETS, SALTS = 16, 4
+#: A term's postings are in one of BUCKETS folders. Each task inverts its own rows, in blocks of about BLOCK tokens.
+BUCKETS, BLOCK = 16, 1 << 20
 
 
 def query_terms(df: DataFrame, text: str) -> list[str]:
@@ -88,12 +93,55 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _inverted(ids: pa.Array, held: pa.ListArray) -> pa.RecordBatch:
+    """A row for each term of these rows, in order: term, n (its occurrences), and id, tf, doc_len of each row that has it."""
+    lens = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(held.flatten())
+    words = [w if len(w) <= LONGEST else w[:LONGEST] for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+    names = sorted({w.decode("utf-8", "replace") for w in words}, key=str.encode)
+    place = {w: i for i, w in enumerate(names)}
+    code = np.array([place[w.decode("utf-8", "replace")] for w in words], np.int64)
+    # a token is its term's place and its row's in one number, so that a sort brings postings together
+    key, tf = np.unique(code[coded.indices.to_numpy()] * len(lens) + np.repeat(np.arange(len(lens)), lens), return_counts=True)
+    term, row = np.divmod(key, len(lens))
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), x)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.add.reduceat(tf, starts), pa.int64()), lists(ids.take(pa.array(row))), lists(pa.array(tf, pa.int32())), lists(pa.array(lens[row], pa.int32()))], names=["term", "n", "id", "tf", "doc_len"])
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of id and tokens; a block goes over batches, and ends with the row that fills it."""
+    ids, held, full = [], [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            to = min(batch.num_rows, int(np.searchsorted(ends, before + BLOCK - full)) + 1)
+            ids.append(batch.column(0).slice(at, to - at))
+            held.append(batch.column(1).slice(at, to - at))
+            full, at, before = full + int(ends[to - 1]) - before, to, int(ends[to - 1])
+            if full >= BLOCK:
+                yield _inverted(pa.concat_arrays(ids), pa.concat_arrays(held))
+                ids, held, full = [], [], 0
+    if full:
+        yield _inverted(pa.concat_arrays(ids), pa.concat_arrays(held))
+
+
+def inverted(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Postings in lists: bucket, term, n, id, tf, doc_len, by bucket and term in each partition.
+
+    They are counted where their rows are, and never shuffled.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    held = df.select(id_col, uncut_tokens(text).alias("__t")).where(F.size("__t") > 0)
+    rows = held.mapInArrow(_invert, f"term string, n long, id array<{kind}>, tf array<int>, doc_len array<int>")
+    return rows.withColumn("bucket", _bucket("term")).sortWithinPartitions("bucket", "term")
+
+
 def write_index(df: DataFrame, path: str, *, text: str = "text", id_col: str = "doc_id") -> None:
     """Writes postings by bucket of term, sorted by term, and one row of statistics. Ids are unique."""
-    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS))
-    rows = postings(df, text, id_col).withColumn("bucket", _bucket("term"))
-    rows.repartition(BUCKETS * SALTS, "bucket", salt).sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(f"{path}/postings")
-    total = df.sparkSession.read.schema("tf long").parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    inverted(df, text, id_col).write.partitionBy("bucket").parquet(f"{path}/postings")
+    total = df.sparkSession.read.schema("n long").parquet(f"{path}/postings").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     df.agg(F.count("*").alias("n")).crossJoin(total).coalesce(1).write.parquet(f"{path}/stats")
 
 
@@ -101,11 +149,13 @@ def search_index(spark: SparkSession, path: str, query: str, topk: int = 10, mat
     """What search() gives, from a written index: only the postings of the query's terms are read."""
     stats_row = spark.read.schema("n long, total long").parquet(f"{path}/stats")
     terms = _terms(stats_row, query, topk, match)
-    held = spark.read.parquet(f"{path}/postings")
+    rows = spark.read.parquet(f"{path}/postings")
+    if dict(rows.dtypes)["tf"].startswith("array"):  # else one written before lists were
+        rows = rows.select("bucket", "term", F.inline(F.arrays_zip("id", "tf", "doc_len")).alias(id_col, "tf", "doc_len"))
     if not terms:
-        return held.select(id_col, F.lit(0.0).alias("score")).limit(0)
+        return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
     # constants of the plan, so they prune folders
-    rows = held.where(F.col("bucket").isin([_bucket(F.lit(w)) for w in terms]) & F.col("term").isin(terms))
+    rows = rows.where(F.col("bucket").isin([_bucket(F.lit(w)) for w in terms]) & F.col("term").isin(terms))
     base = rows.groupBy(id_col).agg(F.max("doc_len").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)])
     whole = rows.agg(*[F.count_if(F.col("term") == w).alias(f"df{i}") for i, w in enumerate(terms)]).crossJoin(stats_row)
     return _ranked(base, whole, len(terms), topk, match, id_col, digits, k1, b)

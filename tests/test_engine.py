@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +147,30 @@ def test_bm25(spark, tmp_path, match):
     assert fts.search_index(spark, str(tmp_path / "index"), "nowhere", 10, match).count() == 0
 
 
+def test_postings_stay_where_their_rows_are(spark, tmp_path, monkeypatch):
+    texts = [(i, None if i % 7 == 3 else " ".join(f"w{(i * j) % 11}" for j in range(i % 9)) + " a" + "\u4e2d" * (60 if i == 4 else 1)) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id int, text string").repartition(3).localCheckpoint()
+    lists = fts.inverted(df)
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, t in texts:
+        words = [w if len(w) < 50 else w.encode()[:128].decode("utf-8", "replace") for w in (t or "").split()]
+        want |= {(w, i): (words.count(w), len(words)) for w in words}
+    fts.write_index(df, str(tmp_path / "index"))
+    read = spark.read.parquet(str(tmp_path / "index/postings")).collect()
+    assert {(r["term"], i): (tf, n) for r in read for i, tf, n in zip(r["id"], r["tf"], r["doc_len"], strict=True)} == want
+    assert tuple(spark.read.parquet(str(tmp_path / "index/stats")).first()) == (40, sum(tf for tf, _ in want.values()))
+    stored = [tuple(r) for r in fts.search_index(spark, str(tmp_path / "index"), "w3 w5", 10, digits=6).collect()]
+    assert stored == [tuple(r) for r in fts.search(df, "w3 w5", 10, digits=6).collect()] and len(stored) == 10
+    # blocks that end within batches and go over them
+    monkeypatch.setattr(fts, "BLOCK", 5)
+    rows = [(i, t.split()) for i, t in texts if t]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in part], pa.int32()), "t": pa.array([r[1] for r in part], pa.list_(pa.string()))}) for part in (rows[:2], rows[2:25], [], rows[25:])]
+    blocks = [r for b in fts._invert(iter(batches)) for r in b.to_pylist()]
+    assert {(r["term"], i): (tf, n) for r in blocks for i, tf, n in zip(r["id"], r["tf"], r["doc_len"], strict=True)} == want
+    assert sum(r["n"] for r in blocks) == sum(tf for tf, _ in want.values()) and len(blocks) > len({w for w, _ in want})
+
+
 def test_long_terms(spark):
     long = "a" * 200
     df = spark.createDataFrame([(0, long), (1, "a" * 128), (2, "a" * 127)], "doc_id int, text string")
