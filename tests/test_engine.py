@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,33 @@ def test_knn_kinds(spark):
     assert len(groups) == 6 and len({g["group_key"] for g in groups}) == 3
 
 
+def test_knn_batch_far_from_zero_and_with_ties(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 16)) / 1000
+    x[1000:2600] = x[5]
+    x += 1e6  # the squares alone have more digits than the distances
+    ids = r.permutation(3000)
+    df = spark.createDataFrame([(f"k{i:04}", v.tolist()) for i, v in zip(ids, x)], "vec_id string, embedding array<double>").repartition(3).cache()
+    asked = [5, 17, 2999]
+    got = knn.knn_batch(df, spark.createDataFrame([(i, x[i].tolist()) for i in asked], "query_id int, query array<double>"), 10).collect()
+    for i in asked:
+        want = np.lexsort((ids, np.round(np.square(x - x[i]).sum(1), 9)))[:10]
+        assert [g["vec_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == i] == [f"k{ids[j]:04}" for j in want]
+
+
+def test_knn_batch_memory(spark):
+    r = np.random.default_rng(4)
+    q, x = r.normal(size=(4096, 8)), r.normal(size=(10000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10000)), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    best = knn._nearest(iter([batch]), q, 10, "l2", pa.int64())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6  # one matrix of all scores has 328 MB
+    assert sum(len(b.score) for b in best) == 40960
+    assert best[1].ids.to_pylist()[:10] == np.argsort(np.square(x - q[len(best[0].last)]).sum(1))[:10].tolist()
+
+
 def _bm25(texts, query, match):
     docs = {i: (t or "").lower().split() for i, t in texts}
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
