@@ -199,6 +199,15 @@ def test_postings_stay_where_their_rows_are(spark, tmp_path, monkeypatch):
     assert sum(r["n"] for r in blocks) == sum(tf for tf, _ in want.values()) and len(blocks) > len({w for w, _ in want})
 
 
+def test_and_over_stored_lists(spark, tmp_path):
+    # words that are cut within a character stay out of the way
+    df = spark.createDataFrame([(i, f"{'red ' * (i % 3)}{'blue ' * (i % 5)}a{chr(0x4E2D) * 60}") for i in range(60)], "doc_id int, text string").repartition(4).localCheckpoint()
+    fts.write_index(df, str(tmp_path / "index"))
+    got = [tuple(r) for r in fts.search_index(spark, str(tmp_path / "index"), "red blue", 100, "and", digits=6).collect()]
+    assert got == [tuple(r) for r in fts.search(df, "red blue", 100, "and", digits=6).collect()]
+    assert {r[0] for r in got} == {i for i in range(60) if i % 3 and i % 5}
+
+
 def test_long_terms(spark):
     long = "a" * 200
     df = spark.createDataFrame([(0, long), (1, "a" * 128), (2, "a" * 127)], "doc_id int, text string")
